@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, tokens
+from sparkloom.llm import components, packing, tokens
+from sparkloom.operators.orphans import tidy
 from sparkloom.plans.lineage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +33,25 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", tokens.vocabulary())
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b): what candidates and reconciliation say of existing claims; ids without a claim link nothing, so they leave first."""
+    known = table(spark, d, "claims").select(F.col("claim_id").alias("id")).distinct()
+    pairs = table(spark, d, "candidates").select("claim_ids").withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("claim_ids").alias("id"))
+    groups = table(spark, d, "reconciliation").where("group_id is not null").select(F.col("group_id").alias("g"), F.explode("claim_ids").alias("id"))
+    members = (
+        pairs.select(F.concat(F.lit("row "), F.col("g").cast("string")).alias("g"), "id")
+        .unionByName(groups.select(F.concat(F.lit("group "), F.col("g")).alias("g"), "id"))
+        .select("g", tidy(F.col("id")).alias("id"))
+        .where("id <> ''")
+        .join(known, "id", "left_semi")
+    )
+    members = components.cut(members.distinct())
+    least = members.groupBy("g").agg(F.min("id").alias("a"))
+    return members.join(least, "g").select("a", F.col("id").alias("b")).where("a <> b")
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.connected_groups(_links(spark, d)).select(F.col("group").alias("group_claim_id"), F.col("vertex").alias("claim_id"))
