@@ -78,26 +78,26 @@ def _zones(overlap: int):
                 # a single blank between words starts a pre-token whatever came before
                 sure.append([p - lo for p in starts if lo <= p < lo + overlap and text[p] == " " and not text[p + 1 : p + 2].isspace() and p + 1 < len(text)])
             yield pa.RecordBatch.from_arrays(
-                [b["key"], b["n"], pa.array(own, ints), pa.array(after, ints), pa.array(sure, ints)], names=["key", "n", "own_starts", "next_starts", "sure_starts"]
+                [b["one"], b["n"], pa.array(own, ints), pa.array(after, ints), pa.array(sure, ints)], names=["one", "n", "own_starts", "next_starts", "sure_starts"]
             )
 
     return run
 
 
 def _cuts(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(key, cuts): the positions at which each long text may be cut, in order, with 0 first."""
+    """(one, cuts): the positions at which each long text may be cut, in order, with 0 first."""
     # a chunk's piece starts one overlap early, to get into step, and ends two late: the zone after its end, and what closes the zone's last pre-token
     chunks = long_docs.select(
-        "key", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("n")
+        "one", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("n")
     ).select(
-        "key", "n",
+        "one", "n",
         F.expr(f"substring(text, greatest(n * {chunk} - {overlap}, 0) + 1, {chunk} + 3 * {overlap})").alias("piece"),
         F.expr(f"if(n = 0, 0, {overlap})").alias("core_lo"),
         F.expr(f"if(n = 0, 0, {overlap}) + {chunk}").alias("core_hi"),
     )
-    chunks = chunks.repartition("key", "n")  # one long text must not stay in one task
-    zones = chunks.mapInArrow(_zones(overlap), "key long, n int, own_starts array<int>, next_starts array<int>, sure_starts array<int>")
-    w = Window.partitionBy("key").orderBy("n")
+    chunks = chunks.repartition("one", "n")  # one long text must not stay in one task
+    zones = chunks.mapInArrow(_zones(overlap), "one struct<key:bigint,digest:string>, n int, own_starts array<int>, next_starts array<int>, sure_starts array<int>")
+    w = Window.partitionBy("one").orderBy("n")
     agreed = F.array_min(F.array_intersect(F.col("own_starts"), F.lag("next_starts").over(w)))
     # a chunk is in step if it agrees with a neighbour that is; behind one that is not, only sure starts count
     out_of_step = F.max(((F.col("n") > 0) & F.col("agreed").isNull()).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -105,40 +105,44 @@ def _cuts(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return (
         zones.withColumn("agreed", agreed)
         .withColumn("at", at)
-        .select("key", F.when(F.col("n") == 0, 0).otherwise(F.col("n") * chunk + F.col("at")).alias("cut"))
+        .select("one", F.when(F.col("n") == 0, 0).otherwise(F.col("n") * chunk + F.col("at")).alias("cut"))
         .where("cut is not null")
-        .groupBy("key")
+        .groupBy("one")
         .agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     )
 
 
-def _encode(ranks: bytes):
+def _encode(ranks: bytes, keep: list[str] = ["key", "n"]):  # noqa: B006
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks)
         for b in batches:
             ids = [enc.encode_ordinary(safe(t)) if t else [] for t in b["piece"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["key"], b["n"], pa.array(ids, pa.list_(pa.int32()))], names=["key", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     return run
 
 
 def encode_corpus(docs: DataFrame, key: str, text: str, ranks: bytes, *, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """(key, ids ARRAY<INT>) of each row; ``key`` is a unique BIGINT for texts longer than ``chunk_chars``."""
+    """(key, ids ARRAY<INT>) of each row; ``key`` is a BIGINT."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     kind = "key long, n int, ids array<int>"
     short = docs.where(~is_long).select("key", F.lit(0).alias("n"), F.col("text").alias("piece")).mapInArrow(_encode(ranks), kind).select("key", "ids")
-    long_docs = docs.where(is_long)
-    cuts = _cuts(long_docs.dropDuplicates(["key"]), chunk_chars, overlap_chars)
+    # each different long text under a key once, with the number of its rows
+    long_docs = docs.where(is_long).groupBy("key", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    long_docs = long_docs.select("key", F.struct("key", "digest").alias("one"), "text", "copies")
+    cuts = _cuts(long_docs, chunk_chars, overlap_chars)
     pieces = (
-        long_docs.join(cuts, "key")
-        .select("key", "text", "cuts", F.posexplode("cuts").alias("n", "cut"))
-        .select("key", "n", F.expr("substring(text, cut + 1, coalesce(try_element_at(cuts, n + 2), length(text)) - cut)").alias("piece"))
-        .repartition("key", "n")
+        long_docs.join(cuts, "one")
+        .select("one", "copies", "text", "cuts", F.posexplode("cuts").alias("n", "cut"))
+        .select("one", "copies", "n", F.expr("substring(text, cut + 1, coalesce(try_element_at(cuts, n + 2), length(text)) - cut)").alias("piece"))
+        .repartition("one", "n")
     )
     whole = (
-        pieces.mapInArrow(_encode(ranks), kind)
-        .groupBy("key")
+        pieces.mapInArrow(_encode(ranks, ["one", "copies", "n"]), "one struct<key:bigint,digest:string>, copies long, n int, ids array<int>")
+        .groupBy("one", "copies")
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+        .select(F.col("one.key").alias("key"), "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("key", "ids")
     )
     return short.unionByName(whole).withColumnRenamed("key", key)
