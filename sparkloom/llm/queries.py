@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import components, packing, tokens
+from sparkloom.llm import components, packing, quality, tokens
 from sparkloom.operators.orphans import tidy
 from sparkloom.plans.lineage import table
 
@@ -55,3 +55,25 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(_links(spark, d)).select(F.col("group").alias("group_claim_id"), F.col("vertex").alias("claim_id"))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = quality.document_kinds(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "common_words"))
+    return kinds.where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query(r"""
+with w as (select distinct lower(word) word from common_words where word is not null),
+t as (select doc_id, coalesce("text", '') b from documents),
+l as (select doc_id, b, regexp_extract_all(b, '[\p{L}\p{N}]+') ws, list_filter(regexp_split_to_array(b, '\r\n|\r|\n'), lambda x: not regexp_matches(x, '^[ \t]*$')) ls from t),
+h as (select doc_id, count(*) n from (select doc_id, unnest(ws) x from l) join w on lower(x) = word group by 1)
+select l.doc_id, len(ws) n_words, len(ls) n_lines,
+  case when len(ws) = 0 then 0 else length(regexp_replace(b, '[^\p{L}\p{N}]+', '', 'g'))::double / len(ws) end mean_word,
+  case when length(b) = 0 then 0 else length(regexp_replace(b, '[\p{L}\p{N} \t\r\n]+', '', 'g'))::double / length(b) end symbol_share,
+  case when len(ls) = 0 then 0 else len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;][ \t]*$')))::double / len(ls) end point_line_share,
+  case when len(ws) = 0 then 0 else coalesce(n, 0)::double / len(ws) end common_share
+from l left join h using (doc_id)
+""")
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
