@@ -105,7 +105,7 @@ EMITTED = "key long, id long, n int, s0 long, s1 long, label int"
 
 
 def _emit(num: int, den: int, level: int):
-    """A row a signature; above the first level only for the row's own label, under the key it came from."""
+    """A row a signature; above the first level under the key it came from, and for the row's own label where it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,11 +117,10 @@ def _emit(num: int, den: int, level: int):
             starts = np.concatenate([[0], np.cumsum(sizes)])
             ids = b["id"].to_numpy(zero_copy_only=False)
             s0, s1 = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-            if level == 1:
-                wanted = [labels_of(int(n), num, den) for n in sizes]
-                index, label = np.repeat(np.arange(len(sizes)), [len(w) for w in wanted]), np.array([x for w in wanted for x in w])
-            else:
-                index, label, outer = np.arange(len(sizes)), b["label"].to_numpy(zero_copy_only=False), b["key"].to_numpy(zero_copy_only=False).view(np.uint64)
+            given = b["label"].to_numpy(zero_copy_only=False) if level > 1 else np.full(len(sizes), -1)
+            outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
+            wanted = [labels_of(int(n), num, den) if x < 0 else (x,) for n, x in zip(sizes, given)]
+            index, label = np.repeat(np.arange(len(sizes)), [len(w) for w in wanted]), np.array([x for w in wanted for x in w])
             order = np.argsort(label, kind="stable")
             index, label = index[order], label[order]
             cuts = np.flatnonzero(np.diff(label)) + 1
@@ -214,9 +213,11 @@ def _meet(num: int, den: int, hot: int):
     return run
 
 
-def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: every pair of sets (id LONG, hashes ARRAY<LONG>) that shares its signatures and could reach the threshold."""
-    todo = sets_.select("id", "hashes").mapInArrow(_emit(num, den, 1), EMITTED)
+def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: the pairs of sets (id LONG, hashes ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
+
+    Keys with more than ``hot`` rows are split by fresh signatures, level by level; whatever is still hot is joined by the JVM.
+    """
     found: DataFrame | None = None
     for level in range(1, LEVELS + 1):
         met = cut(todo.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
@@ -233,6 +234,11 @@ def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFram
     return found.unionByName(left.join(right, "key").where(fits).select("a", "b")).distinct()
 
 
+def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: every pair of sets that shares its signatures and could reach the threshold."""
+    return partitioned_pairs(sets_.select("id", "hashes").mapInArrow(_emit(num, den, 1), EMITTED), sets_, num, den, hot)
+
+
 def similar_pairs(records: DataFrame, key: str, text: str, *, run: int, num: int = 3, den: int = 5, hot: int = HOT) -> DataFrame:
     """(key_a, key_b), smaller first: the different keys whose sets of ``run`` consecutive words have common / all >= num / den."""
     rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()

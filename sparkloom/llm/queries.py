@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import components, neardup, packing, quality, tokens
+from sparkloom.llm import components, neardup, packing, quality, setjoin, tokens
 from sparkloom.operators.orphans import tidy
 from sparkloom.plans.lineage import table
 
@@ -84,3 +84,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     claims = neardup.similar_pairs(table(spark, d, "claims"), "claim_id", "claim_text", run=2)
     sources = neardup.similar_pairs(table(spark, d, "sources"), "source_id", "_body", run=3)
     return claims.select(F.lit("claims").alias("rec_table"), "key_a", "key_b").unionByName(sources.select(F.lit("sources").alias("rec_table"), "key_a", "key_b"))
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = setjoin.similar_records(table(spark, d, "claims"), "claim_id", "claim_text", "topic_tags")
+    return pairs.select(F.col("key_a").alias("claim_id_a"), F.col("key_b").alias("claim_id_b"))
