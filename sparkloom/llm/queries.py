@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import components, neardup, packing, quality, setjoin, tokens
+from sparkloom.llm import boilerplate, components, neardup, packing, quality, setjoin, tokens
 from sparkloom.operators.orphans import tidy
 from sparkloom.plans.lineage import table
 
@@ -90,3 +90,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = setjoin.similar_records(table(spark, d, "claims"), "claim_id", "claim_text", "topic_tags")
     return pairs.select(F.col("key_a").alias("claim_id_a"), F.col("key_b").alias("claim_id_b"))
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.lines_outside_articles(table(spark, d, "fetched_docs").where("source_type = 'html-article'"))
+
+
+@query()
+def p1_articles(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.articles(table(spark, d, "fetched_docs").where("source_type = 'html-article'"))
