@@ -34,6 +34,7 @@ ELSEWHERE = (
     "también le puede interesar", "le puede interesar", "más de", "lo más leído", "más leído", "en esta categoría", "en esta sección", "artículos relacionados", "comentarios",
     "das könnte sie auch interessieren", "auch interessant", "mehr von", "meistgelesen", "in dieser kategorie", "in dieser rubrik", "ähnliche artikel", "weiterlesen", "kommentare",
 )
+VAGUE = frozenset(("related", "latest", "trending", "recommended", "comments", "newsletter", "plus de", "más de", "mehr von", "more from", "more on", "commentaires", "comentarios", "kommentare"))
 # Labels of menus, buttons and tools.
 LABELS = frozenset(
     "home|start|inicio|accueil|contact|kontakt|contacto|about|about us|über uns|à propos|quiénes somos|blog|archive|archives|archiv|archivo|help|help centre|hilfe|aide|ayuda|"
@@ -128,8 +129,7 @@ def leads_elsewhere(line: str, names: frozenset[str]) -> bool:
     if len(text) > 60 or text[-1:] in ".!?":
         return False
     named = not names.isdisjoint(WORD.findall(text))
-    short = HEADING.match(line) is None
-    return any(text == t or text.startswith(t + " ") and len(text.split()) <= len(t.split()) + 3 and (named or short) for t in ELSEWHERE)
+    return any(text == t or text.startswith(t + " ") and len(text.split()) <= len(t.split()) + 3 and (named or t not in VAGUE) for t in ELSEWHERE)
 
 
 def inside_site(target: str, names: frozenset[str]) -> bool:

@@ -9,8 +9,8 @@ differ in no more bits than the sets in features) allow the threshold. A signatu
 paired but split by the signatures of another, independent partition, which its similar pairs must share as well; what is still
 hot after ``LEVELS`` partitions is joined by the JVM. The pairs are then verified on the whole sets.
 
-Scale: equal sets are folded first, so copies cost one row a class. A level is one shuffle of small rows (key, id, size, two
-sketch words), sorted and met in one pass in Arrow batches that hold at most ``hot`` rows of a key; one key has at most one row
+Scale: equal sets are folded first, so copies cost one row a class. A level is one shuffle of small rows (key, id, size, a
+sketch word), sorted and met in one pass in Arrow batches that hold at most ``hot`` rows of a key; one key has at most one row
 a set, a small part of what a set emits. Nothing is collected.
 
 Defined results: records with null keys or texts, and texts too short for a run of ``run`` words, match nothing; rows that
@@ -33,9 +33,10 @@ from sparkloom.plans.lineage import cut
 
 KEEP = 2
 SPARE = 2
-HOT = 512
+HOT = 4_096
 LEVELS = 3
 BLOCK = 2_048
+FEW = 48
 WIDTH = 1.15
 
 
@@ -91,17 +92,16 @@ def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, n
         return mix(sig ^ mix(which + np.uint64(label) * np.uint64(1 << 32) + np.uint64(seed))[None]).reshape(rows, -1)
 
 
-def parity(features: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two words a set, in which every feature flips one bit."""
+def parity(features: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """A word a set, in which every feature flips one bit."""
     with np.errstate(over="ignore"):
         h = mix(features ^ np.uint64(0xA5A5A5A5))
-    bit = np.uint64(1) << (h & np.uint64(63))
-    out = np.zeros((2, rows), np.uint64)
-    np.bitwise_xor.at(out, (((h >> np.uint64(6)) & np.uint64(1)).astype(np.int64), owner), bit)
-    return out[0], out[1]
+    out = np.zeros(rows, np.uint64)
+    np.bitwise_xor.at(out, owner, np.uint64(1) << (h & np.uint64(63)))
+    return out
 
 
-EMITTED = "key long, id long, n int, s0 long, s1 long, label int"
+EMITTED = "key long, id long, n int, sketch long, label int"
 
 
 def _emit(num: int, den: int, level: int):
@@ -116,7 +116,7 @@ def _emit(num: int, den: int, level: int):
             values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             ids = b["id"].to_numpy(zero_copy_only=False)
-            s0, s1 = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+            sketch = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
             given = b["label"].to_numpy(zero_copy_only=False) if level > 1 else np.full(len(sizes), -1)
             outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
             wanted = [labels_of(int(n), num, den) if x < 0 else (x,) for n, x in zip(sizes, given)]
@@ -136,8 +136,8 @@ def _emit(num: int, den: int, level: int):
                     k = sig.shape[1]
                     again = lambda x: pa.array(np.repeat(x[mine], k))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig.ravel().view(np.int64)), again(ids), again(sizes.astype(np.int32)), again(s0.view(np.int64)), again(s1.view(np.int64)), pa.array(np.full(len(mine) * k, label[at], np.int32))],
-                        names=["key", "id", "n", "s0", "s1", "label"],
+                        [pa.array(sig.ravel().view(np.int64)), again(ids), again(sizes.astype(np.int32)), again(sketch.view(np.int64)), pa.array(np.full(len(mine) * k, label[at], np.int32))],
+                        names=["key", "id", "n", "sketch", "label"],
                     )
 
     return run
@@ -146,25 +146,33 @@ def _emit(num: int, den: int, level: int):
 MET = "a long, b long, id long, label int, key long"
 
 
-def _fits(na, nb, xa, xb, ya, yb, num: int, den: int) -> np.ndarray:
-    close = np.bitwise_count(xa ^ xb).astype(np.int64) + np.bitwise_count(ya ^ yb) <= (den - num) * (na + nb) // (den + num)
-    return close & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+def _fits(na, nb, xa, xb, num: int, den: int) -> np.ndarray:
+    total = na + nb
+    return (np.bitwise_count(xa ^ xb) <= (den - num) * total // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
 
 
 def _meet(num: int, den: int, hot: int):
     """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``."""
 
     def pairs_of(key: np.ndarray, cols: list[np.ndarray], lo: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        ids, n, s0, s1 = cols
+        ids, n, sketch = cols
         out = []
-        for m in np.unique(size[size > 1]):
+        for m in np.unique(size[(size > 1) & (size <= FEW)]):
             begin = lo[size == m]
             i, j = np.triu_indices(int(m), 1)
-            for at in range(0, len(begin), max(1, 2_000_000 // len(i))):
-                rows = begin[at : at + max(1, 2_000_000 // len(i)), None]
+            step = max(1, 500_000 // len(i))
+            for at in range(0, len(begin), step):
+                rows = begin[at : at + step, None]
                 p, q = (rows + i).ravel(), (rows + j).ravel()
-                p, q = (x[_fits(n[p], n[q], s0[p], s0[q], s1[p], s1[q], num, den)] for x in (p, q))
-                out.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]))
+                good = _fits(n[p], n[q], sketch[p], sketch[q], num, den)
+                p, q = ids[p[good]], ids[q[good]]
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+        for begin, m in zip(lo[size > FEW], size[size > FEW]):
+            for at in range(begin, begin + m, 128):
+                some, rest = slice(at, min(at + 128, begin + m)), slice(at, begin + m)
+                p, q = np.nonzero(_fits(n[some, None], n[None, rest], sketch[some, None], sketch[None, rest], num, den))
+                p, q = ids[at + p], ids[at + q]
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
         return out
 
     def batch(pairs: list[np.ndarray], hot_rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -180,12 +188,12 @@ def _meet(num: int, den: int, hot: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # key, id, n, s0, s1, label of the last key, which may go on
+        held: list[np.ndarray] | None = None  # key, id, n, sketch, label of the last key, which may go on
         hot_key = None
         for b in batches:
-            cols = [b[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "s0", "s1", "label")]
-            cols = [c.astype(np.int64) if i in (2, 5) else c for i, c in enumerate(cols)]
-            cols = [c.view(np.uint64) if i in (3, 4) else c for i, c in enumerate(cols)]
+            cols = [b[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "sketch", "label")]
+            cols = [c.astype(np.int64) if i in (2, 4) else c for i, c in enumerate(cols)]
+            cols = [c.view(np.uint64) if i == 3 else c for i, c in enumerate(cols)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             key = cols[0]
@@ -199,16 +207,16 @@ def _meet(num: int, den: int, hot: int):
             last_big = bool(len(big) and big[-1])
             hot_key = key[-1] if last_big else None
             for x, m in zip(lo[big], size[big]):
-                hot_rows.append((cols[1][x : x + m], cols[5][x : x + m], key[x : x + m]))
+                hot_rows.append((cols[1][x : x + m], cols[4][x : x + m], key[x : x + m]))
             closed = ~big
             if len(closed):
                 closed[-1] = False
-            pairs = pairs_of(key, cols[1:5], lo[closed], size[closed])
+            pairs = pairs_of(key, cols[1:4], lo[closed], size[closed])
             held = None if last_big or not len(key) else [c[keep_from:] for c in cols]
             if pairs or hot_rows:
                 yield batch(pairs, hot_rows)
         if held is not None:
-            yield batch(pairs_of(held[0], held[1:5], np.array([0]), np.array([len(held[0])])), [])
+            yield batch(pairs_of(held[0], held[1:4], np.array([0]), np.array([len(held[0])])), [])
 
     return run
 
