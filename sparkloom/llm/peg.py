@@ -96,7 +96,7 @@ def ref(name: str) -> Parser:
         key = (name, at)
         if key not in memo:
             t = g.rules[name](g, s, at, memo)
-            memo[key] = t and Tree(name, t.start, t.end, t.parts or ([t] if t.rule else []))
+            memo[key] = t and Tree(name, t.start, t.end, [t] if t.rule else t.parts)
         return memo[key]
 
     return parse

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boilerplate, components, neardup, packing, quality, setjoin, tokens
+from sparkloom.llm import boilerplate, components, neardup, packing, quality, setjoin, tokens, turns
 from sparkloom.operators.orphans import tidy
 from sparkloom.plans.lineage import table
 
@@ -100,3 +100,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p1_articles(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.articles(table(spark, d, "fetched_docs").where("source_type = 'html-article'"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    fetched = table(spark, d, "fetched_docs").where(F.lower(F.regexp_replace("transcript_status", r"^\s+|\s+$", "")) == "fetched")
+    return turns.speaker_turns(fetched, table(spark, d, "speakers"))
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select("fetch_id", "turn_no", "speaker_id", "n_words")
+
+
+@query()
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d)
