@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -27,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps shuffled: Spark's cleaner removes shuffle files once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
