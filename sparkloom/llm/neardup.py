@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import sets
-from sparkloom.plans.lineage import cut
+from sparkloom.plans.lineage import cut, release
 
 KEEP = 2
-SPARE = 2
-HOT = 4_096
+SPARE = (2, 1, 1)  # the differences a group may hold, by level: later levels have fewer, shorter lists to split
+# Above this it costs less to split a signature's sets anew (some 40 microseconds a set) than to compare them with each other.
+HOT = 8_192
 LEVELS = 3
 BLOCK = 2_048
 FEW = 48
@@ -60,12 +61,12 @@ def labels_of(n: int, num: int, den: int) -> tuple[int, ...]:
 
 
 @functools.lru_cache(maxsize=4096)
-def plan(label: int, num: int, den: int) -> tuple[int, int, np.ndarray]:
+def plan(label: int, num: int, den: int, spare: int) -> tuple[int, int, np.ndarray]:
     """(n1, n2, choices) for the pairs of a label: the choices are rows of part indices within a group."""
     low = bands()
     most = int(low[label // 4096 + 1] + low[label % 4096 + 1]) - 2
     k = (den - num) * most // (den + num)  # |a xor b| <= (1 - t) / (1 + t) * (|a| + |b|)
-    n1 = -(-(k + 1) // (SPARE + 1))
+    n1 = -(-(k + 1) // (spare + 1))
     n2 = k // n1 + KEEP
     return n1, n2, np.array(list(combinations(range(n2), KEEP)))
 
@@ -80,7 +81,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, num: int, den: int, seed: int) -> np.ndarray:
     """(rows, signatures): those of ``rows`` sets for one label; feature hash i belongs to set owner[i]."""
-    n1, n2, choices = plan(label, num, den)
+    n1, n2, choices = plan(label, num, den, SPARE[seed - 1])
     with np.errstate(over="ignore"):
         h = mix(features ^ np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
         part = (h % np.uint64(n1 * n2)).astype(np.int64)
@@ -234,6 +235,7 @@ def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot
         rest = met.where("id is not null").select("id", "label", "key").distinct()
         if rest.isEmpty():
             return found.distinct()
+        release(found.sparkSession)
         if level < LEVELS:
             todo = rest.join(sets_.select("id", "hashes"), "id").mapInArrow(_emit(num, den, level + 1), EMITTED)
     still = rest.join(sets_.select("id", F.size("hashes").alias("n")), "id")
@@ -249,14 +251,6 @@ def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFram
 
 def similar_pairs(records: DataFrame, key: str, text: str, *, run: int, num: int = 3, den: int = 5, hot: int = HOT) -> DataFrame:
     """(key_a, key_b), smaller first: the different keys whose sets of ``run`` consecutive words have common / all >= num / den."""
-    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
-    rows = rows.select("key", sets.word_runs(F.col("text")).alias("words")).select("key", sets.runs_of(F.col("words"), run).alias("features"))
-    found, members = sets.classes(rows, "key", "features")
-    members = cut(members)
-    found = cut(found.withColumn("id", F.monotonically_increasing_id()).withColumn("hashes", F.transform("features", lambda f: F.xxhash64(f))))
-    pairs = candidates(found.select("id", "hashes"), num, den, hot)
-    exact = sets.verified(pairs, found, "a", "b", "id", "features", num, den)
-    names = found.select("id", "class_id")
-    exact = exact.join(names.select(F.col("id").alias("a"), F.col("class_id").alias("ca")), "a").join(names.select(F.col("id").alias("b"), F.col("class_id").alias("cb")), "b")
-    both = sets.expand(exact.select("ca", "cb"), members, "key").where("x <> y")
-    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    found, members = sets.classes(records, key, text, run)
+    exact = sets.verified(candidates(found, num, den, hot), found, "a", "b", num, den)
+    return sets.expand(exact, members)
