@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # What a line break, a citation, a claim id and a time look like in the evidence format.
 LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
@@ -181,7 +182,7 @@ def is_material(overall: Column, concerns: Column) -> Column:
     return F.coalesce(overall < 75, F.lit(False)) | F.coalesce(F.exists(concerns, lambda c: (F.coalesce(c["artifact"], F.lit("")) != "") | (F.size(c["claim_ids"]) > 0)), F.lit(False))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def strip_url(urls: pd.Series) -> pd.Series:
     """An address without the punctuation behind it; a closing bracket stays where it has its opening one."""
 
@@ -200,13 +201,13 @@ def strip_url(urls: pd.Series) -> pd.Series:
     return urls.map(one, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return texts.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_page(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
     """Bytes as text: the header's charset, else one named in the first 2,048 bytes, else UTF-8; bad bytes become U+FFFD."""
     import re

@@ -13,6 +13,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructType
 
 from sparkloom.functions import text as T
 
@@ -51,7 +52,7 @@ def split_front_matter(text: Column) -> Column:
     return F.struct(F.when(ok, F.substring(text, F.lit(5), end - 4)).alias("head"), F.when(ok, F.substring(text, end + 5, F.length(text))).alias("body"), error.alias("error"))
 
 
-@F.pandas_udf("fields map<string,string>, error string")
+@F.pandas_udf(StructType().add("fields", MapType(StringType(), StringType())).add("error", "string"))
 def parse_head(heads: pd.Series) -> pd.DataFrame:
     """The fields of a YAML head as strings (null stays null), or why it is none."""
 
