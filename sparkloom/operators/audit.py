@@ -10,7 +10,7 @@ from sparkloom.operators.reconcile import decision_of
 # The gates, and which one a stage needs.
 GATES = ("01-intake", "02-extract", "03-reconcile", "04-synthesis", "05-audit")
 BEFORE = dict(zip(GATES[1:], GATES))
-FORMAT = "resynth-master/2"
+FORMAT = "evidence-master/2"
 
 
 def trace_matrix(claims: DataFrame, decisions: DataFrame, locations: DataFrame) -> DataFrame:

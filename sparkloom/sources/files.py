@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import shutil
 import time
 from collections.abc import Callable, Iterator
@@ -17,9 +18,9 @@ from pyspark.sql.types import MapType, StringType, StructType
 
 from sparkloom.functions import text as T
 
-# The order of front matter fields, and the formats of exported masters.
+# The order of front matter fields, and how the formats of exported masters are named.
 FRONT_MATTER = ("source_id", "title", "origin", "author_or_tool", "date_authored", "date_ingested", "authority_tier", "recency_rank", "sha256", "schema_version", "source_type", "url", "resolved_from")
-FORMATS = {"resynth-master/1": 1, "resynth-master/2": 2}
+MASTER_FORMAT = re.compile(r"[\w.-]+-master/([12])$")
 MAX_BYTES = 10 * 1024 * 1024
 
 
@@ -130,9 +131,10 @@ def load_master(path: Path) -> dict:
     """An exported master of either format; the first has no sources."""
     data = json.loads(Path(path).read_text(encoding="utf-8"))
     tag = data.get("format") if isinstance(data, dict) else None
-    if tag not in FORMATS:
+    known = MASTER_FORMAT.match(tag) if isinstance(tag, str) else None
+    if not known:
         raise ValueError(f"unsupported master format {tag}")
-    data["format_version"] = FORMATS[tag]
+    data["format_version"] = int(known[1])
     data.setdefault("sources", [])
     return data
 
