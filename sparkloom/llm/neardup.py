@@ -32,9 +32,9 @@ from sparkloom.llm import sets
 from sparkloom.plans.lineage import cut, release
 
 KEEP = 2
-SPARE = (2, 1, 1)  # the differences a group may hold, by level: later levels have fewer, shorter lists to split
-# Above this it costs less to split a signature's sets anew (some 40 microseconds a set) than to compare them with each other.
-HOT = 8_192
+SPARE = (2, 2, 2)  # the differences a group may hold, by level
+# Comparing the sets of a signature costs in the square of their number, splitting them anew in proportion to it.
+HOT = 4_096
 LEVELS = 3
 BLOCK = 2_048
 FEW = 48
@@ -233,9 +233,9 @@ def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot
         pairs = met.where("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         rest = met.where("id is not null").select("id", "label", "key").distinct()
+        release(found.sparkSession)
         if rest.isEmpty():
             return found.distinct()
-        release(found.sparkSession)
         if level < LEVELS:
             todo = rest.join(sets_.select("id", "hashes"), "id").mapInArrow(_emit(num, den, level + 1), EMITTED)
     still = rest.join(sets_.select("id", F.size("hashes").alias("n")), "id")

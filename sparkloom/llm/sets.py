@@ -22,8 +22,10 @@ def hashed_runs(words: Column, n: int) -> Column:
     if n == 1:
         hashes = F.transform(words, lambda w: F.xxhash64(w))
     else:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+        # n shifted slices side by side: looking each word up within a lambda would read the text anew for every run
+        many = F.greatest(F.size(words) - n + 1, F.lit(0))
+        shifted = F.arrays_zip(*(F.slice(words, k + 1, many).alias(f"w{k}") for k in range(n)))
+        hashes = F.transform(shifted, lambda r: F.xxhash64(*(r[f"w{k}"] for k in range(n))))
     return F.sort_array(F.array_distinct(hashes))
 
 
