@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of what finished steps shuffled: Spark's cleaner removes shuffle files once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of what finished steps shuffled: Spark's cleaner removes shuffle files once the driver has collected their plans.
+
+    Python's handles on the plans are given back by a thread of their own, so it takes a second round to reach them all.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.7)
+        spark.sparkContext._jvm.System.gc()
