@@ -36,6 +36,7 @@ SPARE = (2, 2, 2)  # the differences a group may hold, by level
 # Comparing the sets of a signature costs in the square of their number, splitting them anew in proportion to it.
 HOT = 4_096
 LEVELS = 3
+KEYS_A_SET, ROWS_A_TASK = 256, 1_000_000  # so that a task sorts its rows in memory
 BLOCK = 2_048
 FEW = 48
 WIDTH = 1.15
@@ -227,14 +228,18 @@ def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot
 
     Keys with more than ``hot`` rows are split by fresh signatures, level by level; whatever is still hot is joined by the JVM.
     """
+    spark = sets_.sparkSession
     found: DataFrame | None = None
+    rows = sets_.count()
     for level in range(1, LEVELS + 1):
-        met = cut(todo.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * KEYS_A_SET // ROWS_A_TASK))
+        met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
         pairs = met.where("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         rest = met.where("id is not null").select("id", "label", "key").distinct()
-        release(found.sparkSession)
-        if rest.isEmpty():
+        release(spark)
+        rows = -(-rest.count() // 8)  # a row here emits for one label, a set at first for about eight
+        if not rows:
             return found.distinct()
         if level < LEVELS:
             todo = rest.join(sets_.select("id", "hashes"), "id").mapInArrow(_emit(num, den, level + 1), EMITTED)
