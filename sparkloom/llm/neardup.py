@@ -4,8 +4,8 @@ Method (Arasu, Ganti, Kaushik 2006). Sets whose similarity reaches the threshold
 their two size bands. The feature domain is hashed into ``n1 * n2`` parts; of the n1 groups of n2 parts at least one holds at
 most ``k2`` of the differences, so at least ``n2 - k2`` of its parts are the same in both sets. Each set emits a signature for
 every choice of that many parts of every group and for every pair of bands it may stand in, so every pair above the threshold
-shares one: nothing is missed. Where a signature is met, a pair goes on if its sizes and the parity sketches of its sets (which
-differ in no more bits than the sets in features) allow the threshold. A signature shared by more than ``hot`` sets is not
+shares one: nothing is missed. Where a signature is met, a pair goes on if its sizes allow the threshold and the parity sketches of
+its group (which differ in no more bits than the sets do there in features) allow that the group holds at most k2 differences. A signature shared by more than ``hot`` sets is not
 paired but split by the signatures of another, independent partition, which its similar pairs must share as well; what is still
 hot after ``LEVELS`` partitions is joined by the JVM. The pairs are then verified on the whole sets.
 
@@ -80,18 +80,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, num: int, den: int, seed: int) -> np.ndarray:
-    """(rows, signatures): those of ``rows`` sets for one label; feature hash i belongs to set owner[i]."""
+def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, num: int, den: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, signatures) and their sketches: those of ``rows`` sets for one label; feature hash i belongs to set owner[i].
+
+    A signature's sketch is the parity of its group's features, so two sets that differ by d features in the group differ in at
+    most d of its bits.
+    """
     n1, n2, choices = plan(label, num, den, SPARE[seed - 1])
     with np.errstate(over="ignore"):
         h = mix(features ^ np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
         part = (h % np.uint64(n1 * n2)).astype(np.int64)
+        again = mix(h)
         sums = np.zeros(rows * n1 * n2, np.uint64)
-        np.add.at(sums, owner * (n1 * n2) + part, mix(h))
+        np.add.at(sums, owner * (n1 * n2) + part, again)
+        sketch = np.zeros(rows * n1, np.uint64)
+        np.bitwise_xor.at(sketch, owner * n1 + part // n2, np.uint64(1) << (again & np.uint64(63)))
         sums = mix(sums.reshape(rows, n1 * n2) ^ (np.arange(n1 * n2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]).reshape(rows, n1, n2)
         sig = sum(sums[:, :, choices[:, i]] for i in range(KEEP))
         which = np.arange(n1, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(len(choices), dtype=np.uint64)[None, :]
-        return mix(sig ^ mix(which + np.uint64(label) * np.uint64(1 << 32) + np.uint64(seed))[None]).reshape(rows, -1)
+        sig = mix(sig ^ mix(which + np.uint64(label) * np.uint64(1 << 32) + np.uint64(seed))[None]).reshape(rows, -1)
+    return sig, np.repeat(sketch.reshape(rows, n1), len(choices), axis=1)
 
 
 def parity(features: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -118,7 +126,6 @@ def _emit(num: int, den: int, level: int):
             values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             ids = b["id"].to_numpy(zero_copy_only=False)
-            sketch = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
             given = b["label"].to_numpy(zero_copy_only=False) if level > 1 else np.full(len(sizes), -1)
             outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
             wanted = [labels_of(int(n), num, den) if x < 0 else (x,) for n, x in zip(sizes, given)]
@@ -131,14 +138,14 @@ def _emit(num: int, den: int, level: int):
                     mine = index[at : min(hi, at + BLOCK)]
                     owner = np.repeat(np.arange(len(mine)), sizes[mine])
                     place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine]) + np.repeat(starts[mine], sizes[mine])
-                    sig = signatures(values[place], owner, len(mine), int(label[at]), num, den, level)
+                    sig, sketch = signatures(values[place], owner, len(mine), int(label[at]), num, den, level)
                     if level > 1:
                         with np.errstate(over="ignore"):
                             sig = mix(sig ^ mix(outer[mine])[:, None])
                     k = sig.shape[1]
                     again = lambda x: pa.array(np.repeat(x[mine], k))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig.ravel().view(np.int64)), again(ids), again(sizes.astype(np.int32)), again(sketch.view(np.int64)), pa.array(np.full(len(mine) * k, label[at], np.int32))],
+                        [pa.array(sig.ravel().view(np.int64)), again(ids), again(sizes.astype(np.int32)), pa.array(sketch.ravel().view(np.int64)), pa.array(np.full(len(mine) * k, label[at], np.int32))],
                         names=["key", "id", "n", "sketch", "label"],
                     )
 
@@ -148,13 +155,23 @@ def _emit(num: int, den: int, level: int):
 MET = "a long, b long, id long, label int, key long"
 
 
-def _fits(na, nb, xa, xb, num: int, den: int) -> np.ndarray:
-    total = na + nb
-    return (np.bitwise_count(xa ^ xb) <= (den - num) * total // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+def _meet(num: int, den: int, hot: int, most: int | None):
+    """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``.
+
+    ``most``: in how many bits the sketches of a pair may differ; None where they are those of the whole sets, which may differ in
+    as many as the sets' sizes allow.
+    """
 
+    def fits(na, nb, xa, xb) -> np.ndarray:
+        apart = np.bitwise_count(xa ^ xb)
+        if most is not None:
+            return apart <= most
+        return (apart <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
 
-def _meet(num: int, den: int, hot: int):
-    """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``."""
+    def sized(p: np.ndarray, q: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        good = np.minimum(n[p], n[q]) * den >= np.maximum(n[p], n[q]) * num
+        p, q = ids[p[good]], ids[q[good]]
+        return np.stack([np.minimum(p, q), np.maximum(p, q)])
 
     def pairs_of(key: np.ndarray, cols: list[np.ndarray], lo: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         ids, n, sketch = cols
@@ -166,15 +183,13 @@ def _meet(num: int, den: int, hot: int):
             for at in range(0, len(begin), step):
                 rows = begin[at : at + step, None]
                 p, q = (rows + i).ravel(), (rows + j).ravel()
-                good = _fits(n[p], n[q], sketch[p], sketch[q], num, den)
-                p, q = ids[p[good]], ids[q[good]]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+                good = fits(n[p], n[q], sketch[p], sketch[q])
+                out.append(sized(p[good], q[good], ids, n))
         for begin, m in zip(lo[size > FEW], size[size > FEW]):
             for at in range(begin, begin + m, 128):
                 some, rest = slice(at, min(at + 128, begin + m)), slice(at, begin + m)
-                p, q = np.nonzero(_fits(n[some, None], n[None, rest], sketch[some, None], sketch[None, rest], num, den))
-                p, q = ids[at + p], ids[at + q]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+                p, q = np.nonzero(fits(n[some, None], n[None, rest], sketch[some, None], sketch[None, rest]))
+                out.append(sized(at + p, at + q, ids, n))
         return out
 
     def batch(pairs: list[np.ndarray], hot_rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -223,17 +238,17 @@ def _meet(num: int, den: int, hot: int):
     return run
 
 
-def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
+def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT, *, whole: bool = False) -> DataFrame:
     """(a, b), a < b: the pairs of sets (id LONG, hashes ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
 
-    Keys with more than ``hot`` rows are split by fresh signatures, level by level; whatever is still hot is joined by the JVM.
+    ``whole``: the sketches of ``todo`` are those of whole sets. Keys with more than ``hot`` rows are split by fresh signatures, level by level; whatever is still hot is joined by the JVM.
     """
     spark = sets_.sparkSession
     found: DataFrame | None = None
     rows = sets_.count()
     for level in range(1, LEVELS + 1):
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * KEYS_A_SET // ROWS_A_TASK))
-        met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
+        met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot, None if whole and level == 1 else SPARE[level - 1]), MET))
         pairs = met.where("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         rest = met.where("id is not null").select("id", "label", "key").distinct()
