@@ -5,7 +5,7 @@ their two size bands. The feature domain is hashed into ``n1 * n2`` parts; of th
 most ``k2`` of the differences, so at least ``n2 - k2`` of its parts are the same in both sets. Each set emits a signature for
 every choice of that many parts of every group and for every pair of bands it may stand in, so every pair above the threshold
 shares one: nothing is missed. Where a signature is met, a pair goes on if its sizes allow the threshold and the parity sketches of
-its group (which differ in no more bits than the sets do there in features) allow that the group holds at most k2 differences. A signature shared by more than ``hot`` sets is not
+its group and of the whole sets (which differ in no more bits than the sets in features) allow k2 and k differences. A signature shared by more than ``hot`` sets is not
 paired but split by the signatures of another, independent partition, which its similar pairs must share as well; what is still
 hot after ``LEVELS`` partitions is joined by the JVM. The pairs are then verified on the whole sets.
 
@@ -83,8 +83,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, num: int, den: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, signatures) and their sketches: those of ``rows`` sets for one label; feature hash i belongs to set owner[i].
 
-    A signature's sketch is the parity of its group's features, so two sets that differ by d features in the group differ in at
-    most d of its bits.
+    A signature's sketch has the parity of its group's features in the lower half and that of all features in the upper, so two
+    sets that differ by d features in the group, or as a whole, differ in at most d bits of that half.
     """
     n1, n2, choices = plan(label, num, den, SPARE[seed - 1])
     with np.errstate(over="ignore"):
@@ -94,12 +94,15 @@ def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, n
         sums = np.zeros(rows * n1 * n2, np.uint64)
         np.add.at(sums, owner * (n1 * n2) + part, again)
         sketch = np.zeros(rows * n1, np.uint64)
-        np.bitwise_xor.at(sketch, owner * n1 + part // n2, np.uint64(1) << (again & np.uint64(63)))
+        np.bitwise_xor.at(sketch, owner * n1 + part // n2, np.uint64(1) << (again & np.uint64(31)))
+        entire = np.zeros(rows, np.uint64)
+        np.bitwise_xor.at(entire, owner, np.uint64(1) << (np.uint64(32) + ((again >> np.uint64(8)) & np.uint64(31))))
+        sketch = sketch.reshape(rows, n1) | entire[:, None]
         sums = mix(sums.reshape(rows, n1 * n2) ^ (np.arange(n1 * n2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]).reshape(rows, n1, n2)
         sig = sum(sums[:, :, choices[:, i]] for i in range(KEEP))
         which = np.arange(n1, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(len(choices), dtype=np.uint64)[None, :]
         sig = mix(sig ^ mix(which + np.uint64(label) * np.uint64(1 << 32) + np.uint64(seed))[None]).reshape(rows, -1)
-    return sig, np.repeat(sketch.reshape(rows, n1), len(choices), axis=1)
+    return sig, np.repeat(sketch, len(choices), axis=1)
 
 
 def parity(features: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -158,14 +161,15 @@ MET = "a long, b long, id long, label int, key long"
 def _meet(num: int, den: int, hot: int, most: int | None):
     """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``.
 
-    ``most``: in how many bits the sketches of a pair may differ; None where they are those of the whole sets, which may differ in
-    as many as the sets' sizes allow.
+    ``most``: in how many bits the lower halves of a pair's sketches may differ; None where a sketch is that of the whole set
+    alone. What tells of the whole sets may differ in as many bits as their sizes allow features.
     """
 
     def fits(na, nb, xa, xb) -> np.ndarray:
         apart = np.bitwise_count(xa ^ xb)
         if most is not None:
-            return apart <= most
+            inside = np.bitwise_count((xa ^ xb) & np.uint64(0xFFFFFFFF))
+            return (inside <= most) & (apart - inside <= (den - num) * (na + nb) // (den + num))
         return (apart <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
 
     def sized(p: np.ndarray, q: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
