@@ -4,9 +4,11 @@ Method: composite text density over the page's tree. The markdown of a page is r
 depth, blocks between blank lines, lines. Every node has characters, tags (itself and its markup), link characters and link
 tags; its composite density is its characters per tag, adjusted by what of it are links, as Sun, Song and Liao (2011) define it.
 The densities of a node's children are summed, the node with the largest sum is the core, and the least density on the path
-from the core up to the body is the threshold that a line must reach. What a site puts around an article is short, or linked
-into the site itself, or speaks of the site; characters of such furniture count as link characters, so they have no density of
-their own. Headings, items, rows and quotes are short by nature and stay where they aren't furniture.
+from the core up to the body is the threshold. The outermost section that holds the core is the article, or the whole body where
+several stand side by side, since sections belong together. Outside it a block of whatever kind, sentences and lists included, must reach the
+threshold, or be no more linked than the page is. Inside it a line goes that is nothing but links, and a short one that is neither
+structural nor a sentence and below the threshold. What a site puts around an article is short, or linked into the site itself, or
+speaks of the site; characters of such furniture count as link characters, so they have no density of their own.
 
 A page is read by itself, in Arrow batches, without any shuffle.
 
@@ -76,6 +78,7 @@ class Node:
     link_chars: int = 0
     link_tags: int = 0
     line: int = 0
+    section: bool = False
     children: list["Node"] = field(default_factory=list)
     density: float = 0.0
     density_sum: float = 0.0
@@ -110,6 +113,33 @@ class Node:
                     best = (path[-1].density_sum, [self, *path])
         return best[1]
 
+    def leaves(self) -> Iterator["Node"]:
+        if self.line:
+            yield self
+        for c in self.children:
+            yield from c.leaves()
+
+    def blocks(self) -> Iterator["Node"]:
+        if self.children and self.children[0].line:
+            yield self
+        else:
+            for c in self.children:
+                yield from c.blocks()
+
+    def more_linked(self, body: "Node") -> bool:
+        return self.link_chars * body.chars > body.link_chars * self.chars
+
+    def only_links(self) -> bool:
+        """Whether nothing of a line is text of its own: all its characters and tags are those of links."""
+        return self.link_chars >= self.chars and self.link_tags >= self.tags
+
+
+def article(path: list[Node]) -> Node:
+    """The selected subtree: the outermost section that holds the core, or the body where that isn't its only section."""
+    body = path[0]
+    sections = [c for c in body.children if c.section]
+    return sections[0] if len(sections) == 1 and any(x is sections[0] for x in path) else body
+
 
 def site_names(url: str | None, origin: str | None) -> frozenset[str]:
     """The names by which a site may speak of itself: the labels of its host but for the last and the usual first ones."""
@@ -183,7 +213,7 @@ def read_tree(lines: list[str], furniture: set[int]) -> Node:
             depth = len(heading[1])
             while open_sections[-1][0] >= depth:
                 open_sections.pop()
-            section = Node()
+            section = Node(section=True)
             open_sections[-1][1].children.append(section)
             open_sections.append((depth, section))
             block = None
@@ -223,20 +253,17 @@ def foreign_lines(text: str | None, url: str | None = None, origin: str | None =
     body = read_tree(lines, furniture)
     body.total()
     body.measure(body)
-    threshold = min(x.density for x in body.path_to_core())
-    leaves: dict[int, Node] = {}
-    stack = [body]
-    while stack:
-        x = stack.pop()
-        if x.line:
-            leaves[x.line] = x
-        stack.extend(x.children)
+    path = body.path_to_core()
+    threshold = min(x.density for x in path)
+    leaves = {x.line: x for x in body.leaves()}
+    chosen = {x.line for x in article(path).leaves()} | {x.line for b in body.blocks() if b.density >= threshold or not b.more_linked(body) for x in b.leaves()}
     out = []
     for i, line in enumerate(lines, 1):
         if not line.strip():
             continue
         near = any(0 < j <= len(lines) and lines[j - 1].count("|") == line.count("|") for j in (i - 1, i + 1))
-        if i in furniture or not structural(line, near) and not is_prose(line, lines, i) and leaves[i].density < threshold:
+        dull = leaves[i].density < threshold and not structural(line, near) and not is_prose(line, lines, i)
+        if i not in chosen or leaves[i].only_links() or dull:
             out.append(i)
     return out
 

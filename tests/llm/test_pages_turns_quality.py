@@ -46,6 +46,16 @@ def test_page():
     assert crlf == gone
 
 
+def test_the_selected_subtree_decides_for_sentences_and_lists():
+    outside = ["- [An unknown wording one](https://a.elsewhere.example/1)", "- [An unknown wording two](https://a.elsewhere.example/2)", "", "[Our partners have written down many good stories for their readers this week.](https://b.elsewhere.example/)", ""]
+    inside = ["# The zelbek ledger", "", "The ledger of zelbek was tested for nine weeks by two teams, and it held.", "", "## References", "", "- [Other ledger](https://c.elsewhere.example/a)", "- [One more](https://c.elsewhere.example/b)"]
+    assert boilerplate.foreign_lines("\n".join(outside + inside), "https://docs.quoril.test/x") == [1, 2, 4]
+    assert boilerplate.foreign_lines("\n".join(inside), "https://docs.quoril.test/x") == []
+    assert boilerplate.foreign_lines("\n".join(["A lead that stands before the title and has no links at all.", "", *inside]), None) == []
+    several = ["## One", "", "A long sentence about the zelbek ledger, which held for nine weeks in a row.", "", "## Links", "", "- [Other ledger](https://c.elsewhere.example/a)"]
+    assert boilerplate.foreign_lines("\n".join(several)) == []
+
+
 def test_page_edges(spark):
     assert boilerplate.foreign_lines(None) == boilerplate.foreign_lines("") == boilerplate.foreign_lines(" \n\r\n") == []
     assert boilerplate.foreign_lines("x" * 200_000 + " is a word. And that was a sentence of its own.") == []
