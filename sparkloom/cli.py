@@ -6,18 +6,22 @@ import argparse
 import json
 import sys
 
-COMMANDS = ("init", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status")
+COMMANDS = ("init", "intake", "resolve", "migrate", "synthesise", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparkloom", description=__doc__)
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("folder")
+    p.add_argument("files", nargs="*", help="intake: the files to take in")
+    p.add_argument("--only", help="resolve: targets that contain this")
+    p.add_argument("--source", action="append", default=[], help="resolve: scan this source")
+    p.add_argument("--force", action="store_true", help="synthesise: replace an edited master")
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
     from sparkloom.plans.stages import Project
     from sparkloom.session import local_session
-    from sparkloom.sources.files import log_run
+    from sparkloom.sources.files import http_get, log_run
 
     project = Project(local_session(), a.folder)
     gates = {"check-intake": project.check_intake, "check-claims": project.check_claims, "check-decisions": project.check_decisions, "check-master": project.check_master, "audit": project.check_audit}
@@ -26,6 +30,16 @@ def main(argv: list[str] | None = None) -> int:
         if a.command in gates:
             out = gates[a.command](dry_run=a.dry_run)
             ok = out["status"] == "PASS"
+        elif a.command in ("intake", "resolve", "migrate"):
+            if a.command == "intake":
+                out = project.intake(a.files, dry_run=a.dry_run)
+            elif a.command == "resolve":
+                out = project.resolve(http_get, only=a.only, source_ids=a.source, dry_run=a.dry_run)
+            else:
+                out = project.migrate(dry_run=a.dry_run)
+            ok = out["gate"]["status"] == "PASS" or a.command == "migrate" and a.dry_run
+        elif a.command == "synthesise":
+            out = project.synthesise(force=a.force, dry_run=a.dry_run)
         elif a.command == "init":
             out = project.init(project.root.name)
         elif a.command == "index":

@@ -59,9 +59,9 @@ def number_new(new: DataFrame, order: str, start: int, prefix: str = "S", width:
     return out.withColumn("new_id", F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))).drop("_p", "_i", "_o")
 
 
-def migrate(sources: DataFrame) -> DataFrame:
-    """Rows of the first schema brought to the second; the others as they are. Running it again changes nothing."""
-    old = F.col("schema_version").isNull()
+def migrate(sources: DataFrame, version: Column | None = None) -> DataFrame:
+    """Rows of the first schema, which have no version, brought to the second; the others as they are. Running it again changes nothing."""
+    old = (F.col("schema_version") if version is None else version).isNull()
     kind = F.when(F.lower("origin").endswith(".pdf"), "pdf").otherwise("report")
     return sources.select(
         "source_id", F.when(old, F.lit(2)).otherwise(F.col("schema_version")).alias("schema_version"),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,26 @@ def discover(sources: DataFrame, key: str, body: str, origin: str, files: DataFr
     return urls.groupBy(key, "raw").agg(F.min(F.struct("pos", "kind")).alias("x")).select(key, "x.pos", "raw", "x.kind")
 
 
+def local_files(sources: DataFrame, body: str, origin: str) -> DataFrame:
+    """(path): the existing files that bodies name in destinations or between backticks, as ``discover`` takes them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            there = set()
+            for text, home in zip(frame["body"], frame["origin"]):
+                folder = None if re.match(r"(?i)[a-z][a-z0-9+.-]*://", home) else re.sub(r"[^/]*$", "", home)
+                for m in re.findall(r"\]\((?:[^()\s]|\([^()]*\))+\)|`[^`\n]+`", text):
+                    name = (m[2:-1] if m[0] == "]" else m[1:-1]).strip()
+                    if Path(name).suffix.lower() in T.SUFFIXES and (name.startswith("/") or folder is not None):
+                        path = name if name.startswith("/") else folder + name
+                        if os.path.isfile(path):
+                            there.add(path)
+            yield pd.DataFrame({"path": sorted(there)}, dtype="object")
+
+    rows = sources.where(F.col(body).isNotNull()).select(F.col(body).alias("body"), F.coalesce(F.col(origin), F.lit("")).alias("origin"))
+    return rows.mapInPandas(run, "path string").distinct()
+
+
 def first_mentions(targets: DataFrame, key: str) -> DataFrame:
     """(raw, kind, parent, pos): each target once, under the source that mentions it first (by source, then place)."""
     first = targets.groupBy("raw").agg(F.min(F.struct(F.col(key).alias("parent"), "pos", "kind")).alias("x"))

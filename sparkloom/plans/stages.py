@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import audit, reconcile, similarity, synthesis, validate
+from sparkloom.operators import audit, intake, reconcile, similarity, synthesis, validate
+from sparkloom.plans import ingest
 from sparkloom.plans.lineage import cut
 from sparkloom.sources import files
 
@@ -46,14 +47,19 @@ class Project:
             (self.root / folder).mkdir(parents=True, exist_ok=True)
         return made
 
-    def sources(self) -> DataFrame:
-        """A row a source file: its fields (missing keys and nulls are both null), ``_body`` and ``_file``."""
+    def heads(self) -> DataFrame:
+        """(_file, _body, fields, _error) a source file, fields as read; none where there are no files yet."""
+        if not any((self.root / "sources").glob("S*.md")):
+            return self.spark.createDataFrame([], "_file string, _body string, fields map<string,string>, _error string")
         texts = files.read_texts(self.spark, str(self.root / "sources" / "S*.md"))
         parts = texts.select(file_name().alias("_file"), files.split_front_matter(F.col("text")).alias("p"))
         read = parts.select("_file", F.col("p.body").alias("_body"), files.parse_head(F.col("p.head")).alias("h"), F.col("p.error").alias("e"))
+        return read.select("_file", "_body", F.col("h.fields").alias("fields"), F.coalesce("e", "h.error").alias("_error"))
+
+    def sources(self) -> DataFrame:
+        """A row a source file: its fields (missing keys and nulls are both null), ``_body`` and ``_file``."""
         names = (*files.FRONT_MATTER, "transcript_status")
-        fields = [F.col("h.fields")[n].alias(n) for n in names]
-        typed = read.select(*fields, "_body", "_file", F.coalesce("e", "h.error").alias("_error"))
+        typed = self.heads().select(*(F.col("fields")[n].alias(n) for n in names), "_body", "_file", "_error")
         return typed.withColumns({n: F.expr(f"try_cast({n} as int)") for n in ("recency_rank", "schema_version")})
 
     def lines(self, pattern: str) -> DataFrame:
@@ -70,6 +76,14 @@ class Project:
         good = files.lenient(self.lines("index/reconciliation.jsonl"))
         return good.select(F.from_json("raw", DECISION).alias("d"), "lineno").select("d.*", F.col("lineno").alias("recorded_at"))
 
+    def manifest(self) -> DataFrame:
+        """What resolving left, a row a target, the last of its lines; ``ord`` is the line."""
+        if not (self.root / "index" / "resolution.jsonl").is_file():
+            return self.spark.createDataFrame([], f"{ingest.MANIFEST}, ord int")
+        good = files.lenient(self.lines("index/resolution.jsonl"))
+        rows = good.select(F.from_json("raw", ingest.MANIFEST).alias("m"), F.col("lineno").alias("ord")).select("m.*", "ord")
+        return intake.first_rows(rows.where("coalesce(target, '') <> ''"), "target", F.desc("ord"))
+
     def rules(self) -> dict:
         data = yaml.safe_load((self.root / "merge-rules.yaml").read_text(encoding="utf-8"))
         if not isinstance(data, dict):
@@ -185,12 +199,10 @@ class Project:
 
     def check_audit(self, *, dry_run: bool = False) -> dict:
         audit.require_previous(self.statuses(), "05-audit")
-        from sparkloom.operators.intake import drifted
-
         sources, claims, decisions = self.sources(), self.claims(), cut(self.decisions())
         places = synthesis.first_citations(synthesis.sections(self.master(), "doc", "master_text"), "doc").select("claim_id", "location")
         matrix = cut(audit.trace_matrix(claims, decisions, places))
-        drift = drifted(sources)
+        drift = intake.drifted(sources)
         dropped = reconcile.undecided(claims, decisions)
         reasons = drift.select(self.place(0, F.col("source_id")), F.concat(F.lit("source "), F.col("source_id"), F.lit(" changed since intake, hash mismatch")).alias("reason"))
         reasons = reasons.unionByName(dropped.select(self.place(1, F.col("claim_id")), F.concat(F.lit("claim "), F.col("claim_id"), F.lit(" dropped without an OUT_OF_SCOPE decision")).alias("reason")))
@@ -203,6 +215,17 @@ class Project:
         checks = {"coverage": coverage, "drift": {r["source_id"]: "DRIFTED" if r["source_id"] in bad else "ok" for r in sources.select("source_id").orderBy("source_id").collect()}, "dropped_claims": [r[0] for r in dropped.orderBy("claim_id").collect()]}
         return self.write_gate("05-audit", reasons, checks, dry_run=dry_run)
 
+    # --- sources -----------------------------------------------------------------------------------------------------------
+
+    def intake(self, paths: list[str], *, convert: ingest.Convert | None = None, dry_run: bool = False) -> dict:
+        return ingest.run_intake(self, paths, convert=convert, dry_run=dry_run)
+
+    def resolve(self, get: ingest.Get, **options: object) -> dict:
+        return ingest.run_resolve(self, get, **options)
+
+    def migrate(self, *, dry_run: bool = False) -> dict:
+        return ingest.run_migrate(self, dry_run=dry_run)
+
     # --- writing -----------------------------------------------------------------------------------------------------------
 
     def claims_index(self) -> str:
@@ -225,6 +248,27 @@ class Project:
         grouped = placed.groupBy("section_rank", "tag", "title").agg(F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
         return [r.asDict() for r in grouped.orderBy(F.asc_nulls_last("section_rank"), "tag").collect()]
 
+    def synthesise(self, *, force: bool = False, dry_run: bool = False) -> str:
+        """The scaffold of the master, with what each section must cite; a master that was edited stays unless forced."""
+        audit.require_previous(self.statuses(), "04-synthesis")
+        sources = self.sources().select("source_id", "title", F.coalesce("source_type", F.lit("report")).alias("kind"), "authority_tier", "date_authored", F.coalesce("url", F.lit("-")).alias("url"), T.sha256_short(F.col("sha256")).alias("sha")).orderBy("source_id").collect()
+        out = [f"# Master Document: {self.root.name}", "", "> [!abstract] Methodology", "> Sources: " + ", ".join(f"{s.source_id} ({s.title}, {s.authority_tier}, authored {s.date_authored})" for s in sources) + "."]
+        out += [f"> Merge rules: {', '.join(self.rules().get('rules') or [])}.", "> Every paragraph names the claims it rests on; decisions are in index/reconciliation.jsonl.", ""]
+        for s in self.plan():
+            out += [f"## {s['title']}", "", "> [!todo] Prose required for this section", f"> Claims to cover: [{', '.join(s['claim_ids'])}]", f"> Write paragraphs below, each ending with its markers, as [{s['claim_ids'][0]}]; then delete this note.", ""]
+        out += ["## Conflicts", ""]
+        conflicts = self.decisions().where("decision = 'CONFLICT'").orderBy("recorded_at").collect()
+        for c in conflicts:
+            out += [f"> [!todo] Conflict {c.group_id} requires a description", f"> Claims in disagreement: [{', '.join(c.claim_ids)}]", "> Describe it and cite both sides. Do not resolve it.", ""]
+        out += [] if conflicts else ["No conflicts were recorded during reconciliation.", ""]
+        out += ["## Gaps", "", "> [!todo] List known gaps, or state that none were identified.", "", "## Appendix: Source Register", ""]
+        out += ["| Source | Title | Type | Authority | Authored | Link | Content hash |", "| --- | --- | --- | --- | --- | --- | --- |"]
+        out += [f"| {s.source_id} | {s.title} | {s.kind} | {s.authority_tier} | {s.date_authored} | {s.url} | {s.sha} |" for s in sources]
+        path, text = self.root / "output" / "MASTER.md", "\n".join([*out, ""])
+        if path.exists() and path.read_text(encoding="utf-8") != text and not force:
+            return "kept-existing"
+        return files.write_text(path, text, self.root, dry_run=dry_run)
+
     def export(self, *, dry_run: bool = False) -> str:
         if self.statuses()["04-synthesis"] != "PASS":
             raise RuntimeError("gate 04-synthesis is not PASS, this stage cannot run.")

@@ -7,8 +7,13 @@ import json
 import re
 import shutil
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 import yaml
@@ -22,6 +27,8 @@ from sparkloom.functions import text as T
 FRONT_MATTER = ("source_id", "title", "origin", "author_or_tool", "date_authored", "date_ingested", "authority_tier", "recency_rank", "sha256", "schema_version", "source_type", "url", "resolved_from")
 MASTER_FORMAT = re.compile(r"[\w.-]+-master/([12])$")
 MAX_BYTES = 10 * 1024 * 1024
+TIMEOUT = 30
+AGENT = "sparkloom (research consolidation)"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +36,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), T.normal_lines(F.col("value")).alias("text"))
 
 
-def convert_binaries(spark: SparkSession, path: str, convert: Callable[[str, bytes], str]) -> DataFrame:
+def convert_binaries(spark: SparkSession, path: str | list[str], convert: Callable[[str, bytes], str]) -> DataFrame:
     """(file, text, error): what ``convert(name, content)`` makes of each file; its exceptions become errors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,6 +173,30 @@ def fetch(targets: DataFrame, get: Callable[[str], tuple[int, str, bytes]], *, p
     return hosts.mapInPandas(run, "target string, status int, content_type string, body binary, error string")
 
 
+@lru_cache(maxsize=4096)
+def _robots(base: str) -> RobotFileParser | None:
+    try:
+        with urllib.request.urlopen(urllib.request.Request(base + "/robots.txt", headers={"User-Agent": AGENT}), timeout=TIMEOUT) as r:
+            parser = RobotFileParser()
+            parser.parse(r.read(MAX_BYTES).decode("utf-8", "replace").splitlines())
+            return parser
+    except (OSError, ValueError):
+        return None
+
+
+def http_get(url: str) -> tuple[int, str, bytes]:
+    """(status, content type, body) of an address, where its host's robots.txt allows it; for ``fetch``."""
+    parts = urllib.parse.urlsplit(url)
+    rules = _robots(f"{parts.scheme}://{parts.netloc}")
+    if rules is not None and not rules.can_fetch(AGENT, url):
+        raise PermissionError("disallowed by robots.txt")
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=TIMEOUT) as r:
+            return r.status, r.headers.get("Content-Type") or "", r.read(MAX_BYTES + 1)
+    except urllib.error.HTTPError as e:
+        return e.code, "", b""
+
+
 def log_run(root: Path, command: str, ok: bool, **details: object) -> None:
     """One JSON line a command; the only place that has times."""
     log = Path(root) / "runs.jsonl"
