@@ -78,9 +78,9 @@ class BoostedTrees:
                 out[:, c] += self._walk(b, tree)
         return out
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, pull: float = 0.02) -> "BoostedTrees":
-        """Scale and shift each class's score to the holdout (vector scaling), pulled towards leaving it as it is."""
-        s, one = np.clip(self.score(x), -8, 8), np.eye(self.classes)[y]
+    def calibrate(self, x: np.ndarray | None, y: np.ndarray, steps: int = 200, rate: float = 0.5, pull: float = 0.02, rows: float = 10.0, scores: np.ndarray | None = None) -> "BoostedTrees":
+        """Scale and shift each class's score to the holdout's (vector scaling), pulled towards leaving it as it is, the more the fewer labels: by ``rows`` labels' worth."""
+        s, one, pull = np.clip(self.score(x) if scores is None else scores, -8, 8), np.eye(self.classes)[y], pull + rows / len(y)
         scale, shift = np.ones(self.classes), np.zeros(self.classes)
         for _ in range(steps):
             d = softmax(s * scale + shift) - one

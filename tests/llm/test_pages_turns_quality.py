@@ -156,3 +156,17 @@ def test_quality_edges(spark):
     more = spark.createDataFrame([(i, PROSE * (1 + i % 3) if i % 2 else "- ab cd\n" * 9, "k") for i in range(40)], "doc_id long, text string, kind string")
     kinds = {r.doc_id: r.kind for r in quality.document_kinds(more, labels, words).collect()}
     assert len(kinds) == 40
+
+
+def test_every_checked_label_calibrates_unseen(spark, monkeypatch):
+    fits, counts = [], []
+    fit, calibrate = BoostedTrees.fit, BoostedTrees.calibrate
+    monkeypatch.setattr(BoostedTrees, "fit", lambda self, x, y, n: (fits.append(len(x)), fit(self, x, y, n))[1])
+    monkeypatch.setattr(BoostedTrees, "calibrate", lambda self, x, y, **more: (counts.append(len(y)), calibrate(self, x, y, **more))[1])
+    docs = spark.createDataFrame([(i, PROSE * (1 + i % 3) if i % 2 else "- ab cd\n" * 9) for i in range(40)], "doc_id long, text string")
+    words = spark.createDataFrame([("the",)], "word string")
+    for n, folds in ((12, [37, 37, 38, 38, 38]), (40, [32] * 5)):
+        labels = spark.createDataFrame([(i, "prose" if i % 2 else "list") for i in range(n)], "doc_id long, label string")
+        fits.clear(), counts.clear()
+        kinds = {r.doc_id: r.kind for r in quality.document_kinds(docs, labels, words).collect()}
+        assert counts == [n] and fits == [40, *folds] and all(kinds[i] == ("prose" if i % 2 else "list") for i in range(40))
