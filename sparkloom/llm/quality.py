@@ -177,7 +177,10 @@ def _word_list(common_words: DataFrame) -> frozenset[str]:
 
 
 def document_statistics(docs: DataFrame, common_words: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and shares of each row's text, in the JVM throughout; ``key`` is unique. Null and blank texts have zeros."""
+    """Counts and shares of each row's text, in the JVM throughout; ``key`` is unique. Null and blank texts have zeros.
+
+    All common words count, however many; the join itself decides whether they are sent to every task.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     words = F.regexp_extract_all(body, F.lit(r"([\p{L}\p{N}]+)"), 1)
@@ -191,7 +194,7 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, *, key: str =
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;][ \t]*$"))).cast("long").alias("n_point_lines"),
     )
-    frequent = F.broadcast(common_words.select(F.lower("word").alias("word")).where("word is not null").distinct().limit(MOST_COMMON_WORDS))
+    frequent = common_words.select(F.lower("word").alias("word")).where("word is not null").distinct()
     hits = rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", F.lower("word").alias("word")).join(frequent, "word").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_common"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return one.join(hits, "doc_id", "left").select(

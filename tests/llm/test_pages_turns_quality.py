@@ -170,3 +170,10 @@ def test_every_checked_label_calibrates_unseen(spark, monkeypatch):
         fits.clear(), counts.clear()
         kinds = {r.doc_id: r.kind for r in quality.document_kinds(docs, labels, words).collect()}
         assert counts == [n] and fits == [40, *folds] and all(kinds[i] == ("prose" if i % 2 else "list") for i in range(40))
+
+
+def test_all_common_words_count(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_COMMON_WORDS", 2)
+    docs = spark.createDataFrame([(1, "the of and to in")], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("the", "The", "of", "and", "to", "in", None)], "word string")
+    assert quality.document_statistics(docs, words).first()["common_share"] == 1.0
