@@ -259,14 +259,16 @@ def turns(body: str | None, people: Speakers) -> list[tuple[int, int, float, int
         said.append((c.time, speaker, words_of(text)))
     said.sort(key=lambda x: x[0])
     out: list[list] = []
-    seen: set[tuple] = set()
+    seen: dict[tuple, set[int]] = {}
     speaker: int | None = None
     for time, named, words in said:
         speaker = named if named is not None else speaker
-        mark = (time, tuple(words))
-        if not words or speaker is None or mark in seen:
+        if not words or speaker is None:
             continue
-        seen.add(mark)
+        by = seen.setdefault((time, tuple(words)), set())
+        if by if named is None else named in by:  # a cue without label repeats whoever said the same then
+            continue
+        by.add(speaker)
         if out and out[-1][0] == speaker:
             out[-1][2].extend(words)
         else:

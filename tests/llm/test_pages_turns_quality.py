@@ -94,6 +94,12 @@ def test_layouts():
     assert spoken(bold) == [(4, 3), (1, 1)]
 
 
+def test_two_people_may_say_the_same_in_one_second():
+    both = "[00:00:01] Anna Bekor: Yes\n[00:00:01] Gero Hanft: Yes\n[00:00:01] Anna Bekor: Yes\n[00:00:01] GERO HANFT: Yes\n[00:00:02] Anna Bekor: good\n"
+    assert spoken(both) == [(1, 1), (4, 1), (1, 1)]
+    assert spoken("[00:00:01] Anna Bekor: Yes\n[00:00:01] Gero Hanft: no\n[00:00:01] Yes\n") == [(1, 1), (4, 1)]
+
+
 def test_turn_edges(spark):
     assert turns.turns(None, PEOPLE) == turns.turns("", PEOPLE) == turns.turns("no cues\nat all", PEOPLE) == []
     assert spoken("[00:00:01] nobody yet\n[00:00:02] Anna Bekor: now [nested [sound] here] words\n") == [(1, 2)]
