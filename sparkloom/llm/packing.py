@@ -3,7 +3,8 @@
 Method: bounded-space online packing. Each partition keeps at most ``open_bins`` windows; an item goes into the fullest one
 it fits, and when none has room the fullest window is emitted and a fresh one opened. What is still open at the end of a
 partition (at most ``open_bins`` windows) is merged: the leftovers of ``fan_in`` partitions are packed together as whole
-windows by the same rule, round by round, until one group is left, so no task ever sees more than ``fan_in * open_bins``.
+windows by the same rule, round by round, until one group is left. Windows that a round closes are final; only those still open go
+on, and each group has a task of its own, so no task ever sees more than ``fan_in * open_bins``.
 
 Defined results: items of no size take no room and do not come out; an item longer than the capacity is cut into full pieces
 and a rest, and no other item is cut; repeated rows are items of their own; an empty table gives no containers.
@@ -112,15 +113,20 @@ def pack_documents(docs: DataFrame, key: str, text: str, ranks: bytes, *, capaci
     parts = placed.where("still_open").select("bin").agg(F.max(F.split("bin", "-")[0].cast("int"))).first()[0]
     merged = placed.where("still_open").groupBy("bin").agg(F.sum("n_tokens").cast("int").alias("size"))
     merged = merged.select("bin", F.col("bin").alias("target"), "size", F.split("bin", "-")[0].cast("int").alias("grp"))
+    closed = merged.select("bin", "target").limit(0)
     groups = (parts or 0) + 1
     while True:
         heads = merged.select(F.col("target").alias("bin"), "size", F.expr(f"cast(grp div {fan_in} as int)").alias("grp")).dropDuplicates(["bin"])
         groups = -(-groups // fan_in)
-        step = heads.repartition(max(1, min(groups, 200_000)), "grp").mapInArrow(_merge(capacity, open_bins), "bin string, target string, size int, still_open boolean, grp int")
+        step = heads.repartitionById(max(1, min(groups, 200_000)), F.col("grp") % 200_000).mapInArrow(_merge(capacity, open_bins), "bin string, target string, size int, still_open boolean, grp int")
         step = cut(step)
-        merged = merged.select("bin", F.col("target").alias("was")).join(step.select(F.col("bin").alias("was"), "target", "size", "grp"), "was").select("bin", "target", "size", "grp")
+        moved = merged.select("bin", F.col("target").alias("was")).join(step.withColumnRenamed("bin", "was"), "was")
         if groups <= 1:
+            closed = closed.unionByName(moved.select("bin", "target"))
             break
-    rest = placed.where("still_open").join(merged.select("bin", F.col("target").alias("container")), "bin")
+        moved = cut(moved)
+        closed = closed.unionByName(moved.where(~F.col("still_open")).select("bin", "target"))
+        merged = moved.where("still_open").select("bin", "target", "size", "grp")
+    rest = placed.where("still_open").join(closed.select("bin", F.col("target").alias("container")), "bin")
     columns = ["container", "doc_id", "piece_no", "start_token", "n_tokens"]
     return done.select(columns).unionByName(rest.select(columns))

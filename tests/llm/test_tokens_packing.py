@@ -68,3 +68,25 @@ def test_lower_bound_of_fill_on_the_driver_table(spark, sf):
 
     r = QUERIES["p8_containers"](spark, sf).groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("bins")).first()
     assert r["most"] <= 2048 and r["bins"] <= -(-r["all"] // 2048) + 2
+
+
+def test_closed_windows_stay_out_of_later_rounds(spark, monkeypatch):
+    merge = packing._merge
+
+    def bounded(capacity, limit):
+        run = merge(capacity, limit)
+
+        def watched(batches):
+            held = list(batches)
+            assert sum(b.num_rows for b in held) <= 2 * limit, "more than fan_in * open_bins windows in a task"
+            return run(iter(held))
+
+        return watched
+
+    monkeypatch.setattr(packing, "_merge", bounded)
+    df = spark.createDataFrame([(i, "word " * (55 + i % 20)) for i in range(120)], "doc_id long, text string").repartition(16)
+    got = packing.pack_documents(df, "doc_id", "text", RANKS, capacity=100, open_bins=2, fan_in=2).collect()
+    filled = {}
+    for r in got:
+        filled[r.container] = filled.get(r.container, 0) + r.n_tokens
+    assert sorted(r.doc_id for r in got) == list(range(120)) and max(filled.values()) <= 100
