@@ -1,17 +1,26 @@
 """Near-duplicate records with small edits, by PartEnum signatures (problem 6).
 
-Method (Arasu, Ganti, Kaushik 2006). Sets whose similarity reaches the threshold differ in at most k features, with k fixed by
-their two size bands. The feature domain is hashed into ``n1 * n2`` parts; of the n1 groups of n2 parts at least one holds at
-most ``k2`` of the differences, so at least ``n2 - k2`` of its parts are the same in both sets. Each set emits a signature for
-every choice of that many parts of every group and for every pair of bands it may stand in, so every pair above the threshold
-shares one: nothing is missed. Where a signature is met, a pair goes on if its sizes allow the threshold and the parity sketches of
-its group and of the whole sets (which differ in no more bits than the sets in features) allow k2 and k differences. A signature shared by more than ``hot`` sets is not
-paired but split by the signatures of another, independent partition, which its similar pairs must share as well; what is still
-hot after ``LEVELS`` partitions is joined by the JVM. The pairs are then verified on the whole sets.
-
-Scale: equal sets are folded first, so copies cost one row a class. A level is one shuffle of small rows (key, id, size, a
-sketch word), sorted and met in one pass in Arrow batches that hold at most ``hot`` rows of a key; one key has at most one row
-a set, a small part of what a set emits. Nothing is collected.
+Method (Arasu, Ganti, Kaushik 2006), with a bound by ratio in place of one by count. The feature domain is partitioned by the bits
+of a hash, nested: a node of depth d holds the features that agree in d bits. Where two sets reach the threshold (den * common >=
+num * all) so do their parts in at least one non-empty half of the domain, since ``(den - num) * common - num * different`` is a
+sum over halves; so it goes down to ever smaller parts. A set enumerates, in every node where it has at most ``PART`` features, the
+subsets of them that can be all a similar set shares with it there: those K with ``den * |K| >= num * |part|``. Similar sets
+share one of these signatures (node, K): where the larger of their parts in the node has at most ``PART`` features both enumerate
+there, and otherwise both go on to the halves, since the smaller part has at least ``num / den`` of the larger. So a node is the band
+of sizes in which both enumerate, and nothing is missed.
+
+Features that only one set has can't be shared: they count in the size of a part but stand in no subset, and a set with too many of
+them has no signatures at all.
+
+Where a signature is met, a pair goes on if its parts are as similar as K demands and if the parity sketches of the node two levels
+higher (which differ in no more bits than the parts in features) allow the differences of that node. A signature shared by more
+than ``hot`` sets is not paired but split by the signatures of another, independent partition, which its similar pairs must share
+as well; what is still hot after ``LEVELS`` partitions is met block by block, each block with each, so all of it is met and no
+task holds more than two blocks. The pairs are then verified on the whole sets.
+
+Scale: equal sets are folded first, so copies cost one row a class. A level is one shuffle of small rows (key, id, sketch),
+about one and a half for each feature, sorted and met in one pass in Arrow batches that hold at most ``hot`` rows of a key; one
+key has at most one row a set. Nothing is collected.
 
 Defined results: records with null keys or texts, and texts too short for a run of ``run`` words, match nothing; rows that
 repeat count once; a key whose rows hold several texts is compared by each; equal texts are pairs; empty tables give none.
@@ -29,47 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import sets
-from sparkloom.plans.lineage import cut, release
+from sparkloom.plans.lineage import cut
 
-KEEP = 2
-SPARE = (2, 2, 2)  # the differences a group may hold, by level
+PART = 6  # 7 at most: a sketch has three bits for it
 # Comparing the sets of a signature costs in the square of their number, splitting them anew in proportion to it.
 HOT = 4_096
 LEVELS = 3
-KEYS_A_SET, ROWS_A_TASK = 256, 1_000_000  # so that a task sorts its rows in memory
-BLOCK = 2_048
+KEYS_A_FEATURE, ROWS_A_TASK = 2, 1_000_000  # so that a task sorts its rows in memory
+SLICE = 200_000  # features enumerated at once
 FEW = 48
-WIDTH = 1.15
-
-
-@functools.lru_cache(maxsize=4)
-def bands(limit: int = 1 << 24) -> np.ndarray:
-    """The lower ends of the size bands."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, int(out[-1] * WIDTH)))
-    return np.array(out)
-
-
-@functools.lru_cache(maxsize=65_536)
-def labels_of(n: int, num: int, den: int) -> tuple[int, ...]:
-    """The pairs of bands (one number each) in which a set of ``n`` features may stand with a similar one."""
-    low = bands()
-    own = int(np.searchsorted(low, n, side="right")) - 1
-    first = int(np.searchsorted(low, -(-n * num // den), side="right")) - 1
-    last = int(np.searchsorted(low, n * den // num, side="right")) - 1
-    return tuple(min(own, j) * 4096 + max(own, j) for j in range(first, last + 1))
-
-
-@functools.lru_cache(maxsize=4096)
-def plan(label: int, num: int, den: int, spare: int) -> tuple[int, int, np.ndarray]:
-    """(n1, n2, choices) for the pairs of a label: the choices are rows of part indices within a group."""
-    low = bands()
-    most = int(low[label // 4096 + 1] + low[label % 4096 + 1]) - 2
-    k = (den - num) * most // (den + num)  # |a xor b| <= (1 - t) / (1 + t) * (|a| + |b|)
-    n1 = -(-(k + 1) // (spare + 1))
-    n2 = k // n1 + KEEP
-    return n1, n2, np.array(list(combinations(range(n2), KEEP)))
+PARITY_BITS = 50
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,105 +58,125 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(features: np.ndarray, owner: np.ndarray, rows: int, label: int, num: int, den: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, signatures) and their sketches: those of ``rows`` sets for one label; feature hash i belongs to set owner[i].
+def sketches(features: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A word for each run of ``size`` features from ``begin`` on: its size (8 bits, 255 for more), 6 bits left open, its parity.
 
-    A signature's sketch has the parity of its group's features in the lower half and that of all features in the upper, so two
-    sets that differ by d features in the group, or as a whole, differ in at most d bits of that half.
+    Every feature flips one bit of the parity, so two sets differ in at least as many features as bits.
     """
-    n1, n2, choices = plan(label, num, den, SPARE[seed - 1])
-    with np.errstate(over="ignore"):
-        h = mix(features ^ np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
-        part = (h % np.uint64(n1 * n2)).astype(np.int64)
-        again = mix(h)
-        sums = np.zeros(rows * n1 * n2, np.uint64)
-        np.add.at(sums, owner * (n1 * n2) + part, again)
-        sketch = np.zeros(rows * n1, np.uint64)
-        np.bitwise_xor.at(sketch, owner * n1 + part // n2, np.uint64(1) << (again & np.uint64(31)))
-        entire = np.zeros(rows, np.uint64)
-        np.bitwise_xor.at(entire, owner, np.uint64(1) << (np.uint64(32) + ((again >> np.uint64(8)) & np.uint64(31))))
-        sketch = sketch.reshape(rows, n1) | entire[:, None]
-        sums = mix(sums.reshape(rows, n1 * n2) ^ (np.arange(n1 * n2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]).reshape(rows, n1, n2)
-        sig = sum(sums[:, :, choices[:, i]] for i in range(KEEP))
-        which = np.arange(n1, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(len(choices), dtype=np.uint64)[None, :]
-        sig = mix(sig ^ mix(which + np.uint64(label) * np.uint64(1 << 32) + np.uint64(seed))[None]).reshape(rows, -1)
-    return sig, np.repeat(sketch, len(choices), axis=1)
-
-
-def parity(features: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """A word a set, in which every feature flips one bit."""
-    with np.errstate(over="ignore"):
-        h = mix(features ^ np.uint64(0xA5A5A5A5))
-    out = np.zeros(rows, np.uint64)
-    np.bitwise_xor.at(out, owner, np.uint64(1) << (h & np.uint64(63)))
-    return out
+    bit = np.uint64(1) << (mix(features ^ np.uint64(0xA5A5A5A5)) % np.uint64(PARITY_BITS))
+    parity = np.bitwise_xor.reduceat(bit, begin) if len(begin) else np.zeros(0, np.uint64)
+    return (np.minimum(size, 255).astype(np.uint64) << np.uint64(56)) | parity
+
 
+@functools.lru_cache(maxsize=256)
+def choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)))
 
-EMITTED = "key long, id long, n int, sketch long, label int"
+
+def signatures(features: np.ndarray, owner: np.ndarray, alone: np.ndarray, num: int, den: int, seed: int, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, sketch) of all signatures; feature i belongs to set owner[i] (ascending), and alone[i] says that no other set has it."""
+    with np.errstate(over="ignore"):
+        h = mix(features ^ np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
+        value = mix(h)
+        low = -(-num * (part + 1) // den)
+        path = np.ones(len(h), np.uint64)
+        above: list[np.ndarray] = []  # of every feature, the sketches of its last two nodes
+        keys, owners, marks = [], [], []
+        while len(h):
+            # after ``owner`` and ``path`` the shared features come first, so a subset is a choice of leading places
+            order = np.lexsort((alone, path, owner))
+            owner, alone, path, h, value = owner[order], alone[order], path[order], h[order], value[order]
+            above = [x[order] for x in above]
+            begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (path[1:] != path[:-1])]))
+            size = np.diff(np.append(begin, len(h)))
+            shared = size - np.add.reduceat(alone.astype(np.int64), begin)
+            above = [*above, np.repeat(sketches(value, begin, size), size)][-3:]
+            hope = den * shared >= num * size
+            for n in range(1, part + 1):
+                for m in range(-(-num * n // den), n + 1):
+                    mine = begin[hope & (size == n) & (shared == m)]
+                    if not len(mine):
+                        continue
+                    held = value[mine[:, None] + np.arange(m)]
+                    node = mix(path[mine] ^ np.uint64(seed << 32))[:, None]
+                    for k in range(-(-num * n // den), m + 1):
+                        sums = held[:, choices(m, k)].sum(axis=2, dtype=np.uint64)
+                        keys.append(mix(sums ^ node).ravel())
+                        owners.append(np.repeat(owner[mine], sums.shape[1]))
+                        marks.append(np.repeat(above[0][mine] | np.uint64(n << 53 | k << 50), sums.shape[1]))
+            on = np.repeat(hope & (size >= low), size)
+            owner, alone, h, value = owner[on], alone[on], h[on], value[on]
+            above = [x[on] for x in above]
+            path = (path[on] << np.uint64(1)) | (h & np.uint64(1))
+            h = h >> np.uint64(1)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(marks)
+
+
+EMITTED = "key long, id long, sketch long"
+
+
+def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most ``most`` features, or one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        yield at, max(at + 1, upto)
+        at = max(at + 1, upto)
+
+
+def rows_of(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(sketch.view(np.int64))], names=["key", "id", "sketch"])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of a column of lists; null lists are empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
 
 
 def _emit(num: int, den: int, level: int):
-    """A row a signature; above the first level under the key it came from, and for the row's own label where it has one."""
+    """A row a signature; above the first level under the key it came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b["hashes"]
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
+            values, sizes = _lists(b["hashes"])
+            private, n_private = _lists(b["alone"])
+            ends, private_ends = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(n_private))
             ids = b["id"].to_numpy(zero_copy_only=False)
-            given = b["label"].to_numpy(zero_copy_only=False) if level > 1 else np.full(len(sizes), -1)
             outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
-            wanted = [labels_of(int(n), num, den) if x < 0 else (x,) for n, x in zip(sizes, given)]
-            index, label = np.repeat(np.arange(len(sizes)), [len(w) for w in wanted]), np.array([x for w in wanted for x in w])
-            order = np.argsort(label, kind="stable")
-            index, label = index[order], label[order]
-            cuts = np.flatnonzero(np.diff(label)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(label)]):
-                for at in range(lo, hi, BLOCK):
-                    mine = index[at : min(hi, at + BLOCK)]
-                    owner = np.repeat(np.arange(len(mine)), sizes[mine])
-                    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine]) + np.repeat(starts[mine], sizes[mine])
-                    sig, sketch = signatures(values[place], owner, len(mine), int(label[at]), num, den, level)
-                    if level > 1:
-                        with np.errstate(over="ignore"):
-                            sig = mix(sig ^ mix(outer[mine])[:, None])
-                    k = sig.shape[1]
-                    again = lambda x: pa.array(np.repeat(x[mine], k))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig.ravel().view(np.int64)), again(ids), again(sizes.astype(np.int32)), pa.array(sketch.ravel().view(np.int64)), pa.array(np.full(len(mine) * k, label[at], np.int32))],
-                        names=["key", "id", "n", "sketch", "label"],
-                    )
+            for lo, hi in slices(sizes):
+                mine = values[ends[lo] : ends[hi]]
+                # a feature that no other set has is met once in the batch too, unless a set stands there under several keys
+                alone = np.isin(mine, private[private_ends[lo] : private_ends[hi]])
+                key, owner, sketch = signatures(mine.view(np.uint64), np.repeat(np.arange(lo, hi), sizes[lo:hi]), alone, num, den, level)
+                if level > 1:
+                    with np.errstate(over="ignore"):
+                        key = mix(key ^ mix(outer[owner]))
+                yield rows_of(key, ids[owner], sketch)
 
     return run
 
 
-MET = "a long, b long, id long, label int, key long"
+MET = "a long, b long, id long, key long"
 
 
-def _meet(num: int, den: int, hot: int, most: int | None):
-    """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``.
+def _meet(num: int, den: int, hot: int):
+    """Over rows sorted by key: the pairs of each key, or its rows as they are where it has more than ``hot``."""
+    six, eight = np.uint64(7), np.uint64(255)
 
-    ``most``: in how many bits the lower halves of a pair's sketches may differ; None where a sketch is that of the whole set
-    alone. What tells of the whole sets may differ in as many bits as their sizes allow features.
-    """
-
-    def fits(na, nb, xa, xb) -> np.ndarray:
-        apart = np.bitwise_count(xa ^ xb)
-        if most is not None:
-            inside = np.bitwise_count((xa ^ xb) & np.uint64(0xFFFFFFFF))
-            return (inside <= most) & (apart - inside <= (den - num) * (na + nb) // (den + num))
-        return (apart <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count((x ^ y) & np.uint64((1 << PARITY_BITS) - 1)).astype(np.int64)
+        n, m = ((s >> np.uint64(56)) & eight for s in (x, y))
+        n, m = n.astype(np.int64), m.astype(np.int64)
+        common = ((x >> np.uint64(50)) & six).astype(np.int64)
+        parts = (((x >> np.uint64(53)) & six) + ((y >> np.uint64(53)) & six)).astype(np.int64)
+        return (differ * (den + num) <= (den - num) * (n + m)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (common * (den + num) >= parts * num)
 
-    def sized(p: np.ndarray, q: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        good = np.minimum(n[p], n[q]) * den >= np.maximum(n[p], n[q]) * num
-        p, q = ids[p[good]], ids[q[good]]
-        return np.stack([np.minimum(p, q), np.maximum(p, q)])
-
-    def pairs_of(key: np.ndarray, cols: list[np.ndarray], lo: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        ids, n, sketch = cols
+    def pairs_of(ids: np.ndarray, sketch: np.ndarray, lo: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         out = []
         for m in np.unique(size[(size > 1) & (size <= FEW)]):
             begin = lo[size == m]
@@ -187,90 +185,112 @@ def _meet(num: int, den: int, hot: int, most: int | None):
             for at in range(0, len(begin), step):
                 rows = begin[at : at + step, None]
                 p, q = (rows + i).ravel(), (rows + j).ravel()
-                good = fits(n[p], n[q], sketch[p], sketch[q])
-                out.append(sized(p[good], q[good], ids, n))
+                good = fits(sketch[p], sketch[q])
+                out.append(np.stack([ids[p[good]], ids[q[good]]]))
         for begin, m in zip(lo[size > FEW], size[size > FEW]):
             for at in range(begin, begin + m, 128):
                 some, rest = slice(at, min(at + 128, begin + m)), slice(at, begin + m)
-                p, q = np.nonzero(fits(n[some, None], n[None, rest], sketch[some, None], sketch[None, rest]))
-                out.append(sized(at + p, at + q, ids, n))
+                p, q = np.nonzero(fits(sketch[some, None], sketch[None, rest]))
+                out.append(np.stack([ids[at + p], ids[at + q]]))
         return out
 
-    def batch(pairs: list[np.ndarray], hot_rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        ab = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-        ab = ab[:, ab[0] != ab[1]]
-        hid, hlabel, hkey = (np.concatenate(x) for x in zip(*hot_rows)) if hot_rows else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-        none = lambda k, kind: pa.nulls(k, kind)
+    def batch(pairs: list[np.ndarray], hot_rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ab = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        ab = np.unique(np.stack([ab.min(axis=0), ab.max(axis=0)])[:, ab[0] != ab[1]], axis=1) if ab.size else ab
+        hid, hkey = (np.concatenate(x) for x in zip(*hot_rows)) if hot_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = lambda k: pa.nulls(k, pa.int64())
         join = lambda x, y: pa.concat_arrays([x, y])
         a, h = ab.shape[1], len(hid)
-        return pa.RecordBatch.from_arrays(
-            [join(pa.array(ab[0]), none(h, pa.int64())), join(pa.array(ab[1]), none(h, pa.int64())), join(none(a, pa.int64()), pa.array(hid)), join(none(a, pa.int32()), pa.array(hlabel.astype(np.int32))), join(none(a, pa.int64()), pa.array(hkey))],
-            names=["a", "b", "id", "label", "key"],
-        )
+        return pa.RecordBatch.from_arrays([join(pa.array(ab[0]), none(h)), join(pa.array(ab[1]), none(h)), join(none(a), pa.array(hid)), join(none(a), pa.array(hkey))], names=["a", "b", "id", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # key, id, n, sketch, label of the last key, which may go on
+        held: list[np.ndarray] | None = None  # key, id, sketch of the last key, which may go on
         hot_key = None
         for b in batches:
-            cols = [b[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "sketch", "label")]
-            cols = [c.astype(np.int64) if i in (2, 4) else c for i, c in enumerate(cols)]
-            cols = [c.view(np.uint64) if i == 3 else c for i, c in enumerate(cols)]
+            if not b.num_rows:
+                continue
+            cols = [b[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "sketch")]
+            cols[2] = cols[2].view(np.uint64)
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            key = cols[0]
+            key, ids, sketch = cols
             edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             lo, size = edge[:-1], np.diff(edge)
-            keep_from = edge[-2] if len(edge) > 1 else 0
-            hot_rows = []
             big = size > hot
-            if hot_key is not None and len(key) and key[0] == hot_key:
+            if hot_key is not None and key[0] == hot_key:
                 big[0] = True
-            last_big = bool(len(big) and big[-1])
-            hot_key = key[-1] if last_big else None
-            for x, m in zip(lo[big], size[big]):
-                hot_rows.append((cols[1][x : x + m], cols[4][x : x + m], key[x : x + m]))
+            hot_key = key[-1] if big[-1] else None
+            hot_rows = [(ids[x : x + m], key[x : x + m]) for x, m in zip(lo[big], size[big])]
             closed = ~big
-            if len(closed):
-                closed[-1] = False
-            pairs = pairs_of(key, cols[1:4], lo[closed], size[closed])
-            held = None if last_big or not len(key) else [c[keep_from:] for c in cols]
+            closed[-1] = False
+            pairs = pairs_of(ids, sketch, lo[closed], size[closed])
+            held = None if big[-1] else [c[lo[-1] :] for c in cols]
             if pairs or hot_rows:
                 yield batch(pairs, hot_rows)
         if held is not None:
-            yield batch(pairs_of(held[0], held[1:4], np.array([0]), np.array([len(held[0])])), [])
+            yield batch(pairs_of(held[1], held[2], np.array([0]), np.array([len(held[0])])), [])
 
     return run
 
 
-def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT, *, whole: bool = False) -> DataFrame:
-    """(a, b), a < b: the pairs of sets (id LONG, hashes ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
+def _in_blocks(rest: DataFrame, sets_: DataFrame, num: int, den: int, hot: int) -> DataFrame:
+    """(a, b), a < b: of all rows (id, key) of one key those that sizes and sketches allow, each block of rows met with each other one.
 
-    ``whole``: the sketches of ``todo`` are those of whole sets. Keys with more than ``hot`` rows are split by fresh signatures, level by level; whatever is still hot is joined by the JVM.
+    A key of m rows has ``ceil(m / hot)`` blocks; a row goes to as many cells, and a cell has the rows of two blocks.
+    """
+    blocks = rest.groupBy("key").agg(F.expr(f"cast(ceil(count(1) * 2 / {hot}) as int)").alias("n_blocks"))
+    whole = sets_.select("id", "hashes").mapInArrow(_whole, "id long, sketch long")
+    rows = rest.join(blocks, "key").join(whole, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    cells = rows.select("*", other.alias("other")).select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "sketch")
+    many = rows.agg(F.sum("n_blocks")).first()[0]
+    parts = max(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // ROWS_A_TASK))
+    # a cell is never split again: two blocks are about ``hot`` rows, but for chance
+    return cells.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, 1 << 40), MET).select("a", "b")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        values, sizes = _lists(b["hashes"])
+        sketch = sketches(mix(values.view(np.uint64)), (np.cumsum(sizes) - sizes), sizes) if len(values) else np.zeros(len(sizes), np.uint64)
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(sketch.view(np.int64))], names=["id", "sketch"])
+
+
+def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT, *, keys_a_feature: int = KEYS_A_FEATURE) -> DataFrame:
+    """(a, b), a < b: the pairs of sets (id LONG, hashes, alone ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
+
+    Keys with more than ``hot`` rows are split by fresh signatures, level by level, and at last by blocks.
     """
     spark = sets_.sparkSession
     found: DataFrame | None = None
-    rows = sets_.count()
+    rows = (sets_.agg(F.sum(F.size("hashes"))).first()[0] or 0) * keys_a_feature
     for level in range(1, LEVELS + 1):
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * KEYS_A_SET // ROWS_A_TASK))
-        met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot, None if whole and level == 1 else SPARE[level - 1]), MET))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+        met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
         pairs = met.where("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        rest = met.where("id is not null").select("id", "label", "key").distinct()
-        release(spark)
-        rows = -(-rest.count() // 8)  # a row here emits for one label, a set at first for about eight
-        if not rows:
+        rest = met.where("id is not null").select("id", "key").distinct()
+        if not rest.take(1):
             return found.distinct()
         if level < LEVELS:
-            todo = rest.join(sets_.select("id", "hashes"), "id").mapInArrow(_emit(num, den, level + 1), EMITTED)
-    still = rest.join(sets_.select("id", F.size("hashes").alias("n")), "id")
-    left, right = (still.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") < F.col("b"))
-    return found.unionByName(left.join(right, "key").where(fits).select("a", "b")).distinct()
+            again = rest.join(sets_.select("id", "hashes", "alone"), "id")
+            rows = again.agg(F.sum(F.size("hashes"))).first()[0] * KEYS_A_FEATURE
+            todo = again.mapInArrow(_emit(num, den, level + 1), EMITTED)
+    return found.unionByName(_in_blocks(rest, sets_, num, den, hot)).distinct()
+
+
+def with_alone(found: DataFrame) -> DataFrame:
+    """``found`` (id, hashes) with ``alone``, the features that no other set has, but without sets that have too many of them to match."""
+    counted = found.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id"))
+    alone = counted.where("df = 1").groupBy("id").agg(F.collect_list("h").alias("alone"))
+    return found.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<bigint>")))
 
 
 def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: every pair of sets that shares its signatures and could reach the threshold."""
-    return partitioned_pairs(sets_.select("id", "hashes").mapInArrow(_emit(num, den, 1), EMITTED), sets_, num, den, hot)
+    known = with_alone(sets_.select("id", "hashes"))
+    known = cut(known.where(F.size("hashes") * num <= (F.size("hashes") - F.size("alone")) * den))
+    return partitioned_pairs(known.mapInArrow(_emit(num, den, 1), EMITTED), known, num, den, hot)
 
 
 def similar_pairs(records: DataFrame, key: str, text: str, *, run: int, num: int = 3, den: int = 5, hot: int = HOT) -> DataFrame:
