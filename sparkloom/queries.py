@@ -560,7 +560,9 @@ def caption_parse(spark: SparkSession, d: str) -> DataFrame:
     return pages.paragraphs(cues, "fetch_id")
 
 
-@query()
+@query(r"""
+select distinct source_id, source_id read_id, length("_body") n_chars, null::varchar error from (select distinct source_id, title, "_body" from sources where "_body" is not null)
+""")
 def frontmatter_parse(spark: SparkSession, d: str) -> DataFrame:
     """Sources written as files with front matter and read back: their fields and the length of the body."""
     s = table(spark, d, "sources").where("_body is not null").select("source_id", "title", "_body").distinct()
@@ -570,7 +572,12 @@ def frontmatter_parse(spark: SparkSession, d: str) -> DataFrame:
     return read.select("source_id", F.col("h.fields")["source_id"].alias("read_id"), "n_chars", F.col("h.error").alias("error"))
 
 
-@query()
+@query(r"""
+with d as (select distinct fetch_id, url, coalesce(title, '') title, body_markdown from fetched_docs where body_markdown is not null),
+b as (select *, list_filter(list_transform(regexp_split_to_array(body_markdown, '\n[ \t\r\n\x0b\x0c]*\n'), lambda x: regexp_replace(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') p from d)
+select fetch_id, nullif(regexp_replace(regexp_replace(title, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), '') title,
+  case when len(p) = 0 then 0 else list_sum(list_transform(p, lambda x: length(x)))::bigint + 2 * len(p) - 1 end n_chars from b
+""")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     """Fetched bodies wrapped as HTML pages and reduced again: text lengths and titles."""
     docs = table(spark, d, "fetched_docs").where("body_markdown is not null").select("fetch_id", "url", "title", "body_markdown").distinct()
