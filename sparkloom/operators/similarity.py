@@ -1,14 +1,17 @@
 """Likely duplicate or conflicting claims: the exact set-similarity self-join, and its numbering.
 
-Prefix filtering: elements are ranked rare first; sets of similarity t share an element among their first n - ceil(t n) + 1, so
-only those are joined, under a length bound; a pair is then verified on the whole sets, in integers. Equal sets are folded
-before, so copies do not multiply the join. Elements travel as 64-bit hashes; their order is (frequency, hash), so no global
-numbering is needed. Hashes that collide could only join a pair more or less in a set of billions of words.
+Prefix filtering with positions: elements are ranked rare first; sets of similarity t share an element among their first
+n - ceil(t n) + 1, and what stands behind the first one they share must still allow the overlap. Only records that share a value
+(a tag) are compared, so sets meet under value and element together, which splits frequent elements by value and frequent values by
+element. A pair is then verified on the whole sets, in integers. Equal sets are folded before, so copies do not multiply the join.
+Elements travel as 64-bit hashes; their order is (frequency, hash), with the frequency of the ``HEAVY`` most frequent elements,
+a bounded table that may be broadcast, and none for the others: any order gives the same result. Hashes that collide could only
+join a pair more or less in a set of billions of words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import round3, tokens
@@ -16,32 +19,33 @@ from sparkloom.plans.lineage import cut
 
 # Fixed value: the least similarity of a candidate pair, 7/20 = 0.35.
 NUM, DEN = 7, 20
+HEAVY = 50_000
 
 
 def ranked_sets(records: DataFrame, key: str, elements: Column) -> tuple[DataFrame, DataFrame]:
-    """(set_id, n, ranks) of the distinct non-empty sets, ranks ascending and rare first; and (key, set_id) of the records."""
-    rows = records.select(F.col(key).alias("key"), F.array_sort(elements).alias("e")).where(F.size("e") > 0)
-    rows = rows.withColumn("digest", F.sha2(F.array_join("e", "\x1f"), 256))
-    members = rows.select("key", "digest")
-    distinct = rows.groupBy("digest").agg(F.first("e").alias("e"))
-    words = distinct.select("digest", F.explode("e").alias("w"))
-    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rank = frequency.select("w", F.struct("df", F.xxhash64("w"), "w").alias("rank"))
-    sets = words.join(rank, "w").groupBy("digest").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-    return cut(sets.select(F.col("digest").alias("set_id"), F.size("ranks").alias("n"), F.transform("ranks", lambda r: r["col2"]).alias("ranks"))), members.select("key", F.col("digest").alias("set_id"))
+    """(set_id, n, ranks) of the distinct non-empty sets, ranks being the elements' hashes, rare first; and (key, set_id) of the records."""
+    rows = records.select(F.col(key).alias("key"), F.array_sort(F.transform(elements, lambda w: F.xxhash64(w))).alias("e")).where(F.size("e") > 0)
+    rows = cut(rows.withColumn("class", F.struct(F.xxhash64("e").alias("h0"), F.xxhash64(F.lit(1), F.reverse("e")).alias("h1"))))
+    distinct = cut(rows.groupBy("class").agg(F.first("e").alias("e")).withColumn("set_id", F.monotonically_increasing_id()))
+    words = distinct.select("set_id", F.explode("e").alias("w"))
+    frequent = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "w").limit(HEAVY))
+    placed = words.join(F.broadcast(frequent), "w", "left").select("set_id", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w").alias("rank"))
+    sets = placed.groupBy("set_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    sets = cut(sets.select("set_id", F.size("ranks").alias("n"), F.transform("ranks", lambda r: r["w"]).alias("ranks")))
+    return sets, rows.join(distinct.select("class", "set_id"), "class").select("key", "set_id")
 
 
-def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b, common, n_all), a < b: the pairs of distinct sets with den * common >= num * all."""
-    prefix = sets.select("set_id", "n", F.explode(F.slice("ranks", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)).alias("t"))
-    left = prefix.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "t")
-    right = prefix.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "t")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    pairs = left.join(right, "t").where(fits).select("a", "b").distinct()
+def similar_sets(sets: DataFrame, values: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b, common, n_all), a < b: the pairs of distinct sets with den * common >= num * all that share a value. ``values``: (set_id, value)."""
+    prefix = sets.select("set_id", "n", F.posexplode(F.slice("ranks", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)).alias("pos", "w"))
+    keyed = prefix.join(values.select("set_id", "value").distinct(), "set_id").select("set_id", "n", (F.col("n") - F.col("pos")).alias("left"), F.xxhash64("value", "w").alias("t"))
+    one = keyed.toDF("a", "na", "la", "t")
+    other = keyed.toDF("b", "nb", "lb", "t")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.least("la", "lb") * (den + num) >= (F.col("na") + F.col("nb")) * num)
+    pairs = one.join(other, "t").where(fits).select("a", "b").distinct()
     full = sets.select("set_id", "ranks")
-    joined = pairs.join(full.toDF("a", "ra"), "a").join(full.toDF("b", "rb"), "b")
-    common = F.size(F.array_intersect("ra", "rb"))
-    out = joined.select("a", "b", common.alias("common"), (F.size("ra") + F.size("rb") - common).alias("n_all"))
+    joined = pairs.join(full.toDF("a", "ra"), "a").join(full.toDF("b", "rb"), "b").withColumn("common", F.size(F.array_intersect("ra", "rb")))
+    out = joined.select("a", "b", "common", (F.size("ra") + F.size("rb") - F.col("common")).alias("n_all"))
     return out.where(F.col("common") * den >= F.col("n_all") * num)
 
 
@@ -55,7 +59,7 @@ def candidate_pairs(claims: DataFrame, *, num: int = NUM, den: int = DEN) -> Dat
     tags = rows.select("claim_id", F.explode("topic_tags").alias("tag")).where("tag is not null").groupBy("claim_id").agg(F.collect_set("tag").alias("tags"))
     tagged = cut(members.join(tags.withColumnRenamed("claim_id", "key"), "key"))
     left, right = tagged.select(F.col("key").alias("x"), F.col("set_id").alias("a"), F.col("tags").alias("tx")), tagged.select(F.col("key").alias("y"), F.col("set_id").alias("b"), F.col("tags").alias("ty"))
-    across = similar_sets(sets, num, den).join(left, "a").join(right, "b")
+    across = similar_sets(sets, tagged.select("set_id", F.explode("tags").alias("value")), num, den).join(left, "a").join(right, "b")
     within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", "tx", "ty", F.lit(1).alias("common"), F.lit(1).alias("n_all"))
     both = across.select("x", "y", "tx", "ty", "common", "n_all").unionByName(within).where("x <> y")
     both = both.withColumn("shared", F.array_sort(F.array_intersect("tx", "ty"))).where(F.size("shared") > 0)
@@ -65,6 +69,17 @@ def candidate_pairs(claims: DataFrame, *, num: int = NUM, den: int = DEN) -> Dat
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
-    """Candidates P001, P002... in order of their claims; for the listing of a project, which is read by people."""
-    n = F.row_number().over(Window.orderBy("claim_id_a", "claim_id_b"))
-    return pairs.withColumn("n", n).select(F.concat(F.lit("P"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("candidate_id"), *pairs.columns)
+    """Candidates P001, P002... in order of their claims.
+
+    The pairs are sorted in ranges and numbered by the counts of the ranges before, so no task holds more than its range.
+    """
+    ranges = pairs.sort("claim_id_a", "claim_id_b").withColumn("_part", F.spark_partition_id())
+    ranges = cut(ranges.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = {r[0]: r[1] for r in ranges.groupBy("_part").agg(F.count(F.lit(1))).collect()}  # a row a task
+    before, sums = 0, []
+    for part in sorted(counts):
+        sums += [F.lit(part), F.lit(before)]
+        before += counts[part]
+    offset = F.create_map(*sums)[F.col("_part")] if sums else F.lit(0)
+    n = (F.col("_at") + offset + 1).cast("string")
+    return ranges.select(F.concat(F.lit("P"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("candidate_id"), *pairs.columns)
