@@ -6,22 +6,23 @@ import argparse
 import json
 import sys
 
-COMMANDS = ("init", "intake", "resolve", "migrate", "synthesise", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status")
+COMMANDS = ("init", "intake", "resolve", "migrate", "extract", "reconcile", "synthesise", "session", "finish", "queue", "follow", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparkloom", description=__doc__)
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("folder")
-    p.add_argument("files", nargs="*", help="intake: the files to take in")
+    p.add_argument("files", nargs="*", help="intake: the files to take in; queue: the directive; finish: the session")
     p.add_argument("--only", help="resolve: targets that contain this")
     p.add_argument("--source", action="append", default=[], help="resolve: scan this source")
     p.add_argument("--force", action="store_true", help="synthesise: replace an edited master")
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
-    from sparkloom.plans.stages import Project
+    from sparkloom.plans.stages import Project, messages
     from sparkloom.session import local_session
     from sparkloom.sources.files import http_get, log_run
+    from sparkloom.streaming.control import Queue
 
     project = Project(local_session(), a.folder)
     gates = {"check-intake": project.check_intake, "check-claims": project.check_claims, "check-decisions": project.check_decisions, "check-master": project.check_master, "audit": project.check_audit}
@@ -30,6 +31,15 @@ def main(argv: list[str] | None = None) -> int:
         if a.command in gates:
             out = gates[a.command](dry_run=a.dry_run)
             ok = out["status"] == "PASS"
+            out = {"messages": messages(out)} | {k: v for k, v in out.items() if k not in ("reasons", "warnings")}
+        elif a.command == "extract":
+            out = project.extract(dry_run=a.dry_run)
+        elif a.command == "reconcile":
+            out = project.reconcile(dry_run=a.dry_run)
+            ok = out["gate"]["status"] == "PASS"
+        elif a.command in ("session", "finish", "queue", "follow"):
+            queue = Queue(project.root / "index" / "control")
+            out = {"session": queue.start, "finish": lambda: queue.finish(*a.files[:1]), "queue": lambda: queue.put(" ".join(a.files)), "follow": lambda: queue.follow(project.spark)}[a.command]()
         elif a.command in ("intake", "resolve", "migrate"):
             if a.command == "intake":
                 out = project.intake(a.files, dry_run=a.dry_run)

@@ -70,12 +70,6 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Common by all; 0.0 for two empty sets."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
-
-
 def round3(c: Column) -> Column:
     """Half to even, at three places."""
     return F.bround(c, 3)

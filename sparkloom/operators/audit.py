@@ -46,6 +46,12 @@ def gate(reasons: DataFrame, key: str, every: DataFrame, *order: str) -> DataFra
         F.coalesce(F.transform("r", lambda x: x["reason"]), F.array().cast("array<string>")).alias("reasons"))
 
 
+def gate_counts(reasons: DataFrame, key: str, every: DataFrame) -> DataFrame:
+    """(key, status, n_reasons) as ``gate`` has it, by counts alone, so a key with very many reasons stays a number."""
+    out = every.select(key).distinct().join(reasons.groupBy(key).agg(F.count("reason").alias("n")), key, "left").withColumn("n_reasons", F.coalesce("n", F.lit(0)).cast("long"))
+    return out.select(key, F.when(F.col("n_reasons") > 0, "FAIL").otherwise("PASS").alias("status"), "n_reasons")
+
+
 def require_previous(status: dict[str, str], stage: str) -> None:
     """Raise unless the gate right before ``stage`` is PASS; earlier and later ones are not looked at."""
     before = BEFORE.get(stage)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 
 
-def claims_per_source(sources: DataFrame, claims: DataFrame) -> DataFrame:
-    """(source_id, n_claims) of every source, also of those without claims."""
-    counts = claims.select("source_id", "claim_id").where("claim_id is not null").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("n_claims"))
+def claims_per_source(sources: DataFrame, claims: DataFrame, *, rows_of: str | None = None) -> DataFrame:
+    """(source_id, n_claims) of every source, also of those without claims.
+
+    Different ids count, by the source a claim names; with ``rows_of``, a column that says whose file a row stands in, its rows do,
+    valid or not, as the gate over files wants it.
+    """
+    mine = claims.select(F.col(rows_of).alias("source_id")) if rows_of else claims.select("source_id", "claim_id").where("claim_id is not null").distinct()
+    counts = mine.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_claims"))
     return sources.select("source_id").distinct().join(counts, "source_id", "left").select("source_id", F.coalesce("n_claims", F.lit(0)).cast("long").alias("n_claims"))
 
 
@@ -25,10 +30,10 @@ def dangling(claims: DataFrame) -> DataFrame:
     return refs.join(claims.select(F.col("claim_id").alias("ref")).where("ref is not null").distinct(), "ref", "left_anti").select("claim_id", "ref")
 
 
-def thin_sources(sources: DataFrame, claims: DataFrame, min_bytes: int = 2048, min_claims: int = 3) -> DataFrame:
+def thin_sources(sources: DataFrame, claims: DataFrame, min_bytes: int = 2048, min_claims: int = 3, *, rows_of: str | None = None) -> DataFrame:
     """(source_id, n_bytes, n_claims): sources of more than ``min_bytes`` with fewer than ``min_claims`` claims."""
     size = sources.groupBy("source_id").agg(F.max(F.coalesce(T.utf8_length(F.col("_body")), F.lit(0))).cast("long").alias("n_bytes")).where(F.col("n_bytes") > min_bytes)
-    return size.join(claims_per_source(sources, claims), "source_id").where(F.col("n_claims") < min_claims).select("source_id", "n_bytes", "n_claims")
+    return size.join(claims_per_source(sources, claims, rows_of=rows_of), "source_id").where(F.col("n_claims") < min_claims).select("source_id", "n_bytes", "n_claims")
 
 
 def locator_warnings(claims: DataFrame, sources: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def section_plan(claims: DataFrame, decisions: DataFrame, projects: DataFrame) -
     """
     ranks = projects.select("project_id", F.posexplode("section_order").alias("rank", "tag")).where("tag is not null").groupBy("project_id", "tag").agg(F.min("rank").alias("rank"))
     tagged = claims.join(winners(decisions).select("claim_id"), "claim_id").select("project_id", "claim_id", F.explode("topic_tags").alias("tag")).where("tag is not null and project_id is not null").distinct()
-    placed = tagged.join(F.broadcast(ranks), ["project_id", "tag"], "left").withColumn("place", F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.col("tag").alias("t")))
+    placed = tagged.join(ranks, ["project_id", "tag"], "left").withColumn("place", F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.col("tag").alias("t")))
     best = placed.groupBy("project_id", "claim_id").agg(F.min("place").alias("place"))
     return best.select("project_id", F.when(F.col("place.rank") < (1 << 30), F.col("place.rank")).cast("int").alias("section_rank"), F.col("place.t").alias("tag"), T.section_title(F.col("place.t")).alias("title"), "claim_id")
 
@@ -113,6 +118,3 @@ def gate_checks(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return total.join(seen, "project_id", "full").join(named, "project_id", "full").select("project_id", *(zero(c) for c in ("claims_total", "claims_decided", "decision_groups")))
 
-
-def last_in(df: DataFrame, key: str, *order: str) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc_nulls_last(o) for o in order)))).where("_rn = 1").drop("_rn")

@@ -55,22 +55,27 @@ def phantom_citations(parts: DataFrame, key: str, claims: DataFrame) -> DataFram
     return first_citations(parts, key).select(key, "claim_id").join(known, "claim_id", "left_anti").select(key, "claim_id")
 
 
+def first_section(parts: DataFrame, key: str, heading: str) -> DataFrame:
+    """(key, content): the first of a document's sections of that heading; later ones of the same name don't count."""
+    return parts.where(F.col("heading") == heading).groupBy(key).agg(F.min_by("content", "section_no").alias("content"))
+
+
 def uncited_winners(parts: DataFrame, key: str, winners: DataFrame) -> DataFrame:
     """(claim_id, group_id): claims that must be cited and nowhere are."""
     return winners.join(first_citations(parts, key).select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", "group_id")
 
 
 def absent_conflicts(parts: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
-    """(group_id, claim_id): claims in conflict that no Conflicts section cites."""
+    """(group_id, claim_id): claims in conflict that the first Conflicts section doesn't cite."""
     named = decisions.where("decision = 'CONFLICT'").select("group_id", F.explode("claim_ids").alias("claim_id")).where("claim_id is not null").distinct()
-    cited = parts.where("heading = 'Conflicts'").select(F.explode(T.citations(F.col("content"))).alias("claim_id")).distinct()
+    cited = first_section(parts, key, "Conflicts").select(F.explode(T.citations(F.col("content"))).alias("claim_id")).distinct()
     return named.join(cited, "claim_id", "left_anti").select("group_id", "claim_id")
 
 
 def master_faults(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ord, reason): todo marks left, mandatory sections that lack, an empty Gaps section."""
+    """(key, ord, reason): todo marks left, mandatory sections that lack, an empty first Gaps section."""
     parts = sections(docs, key, text)
-    have = parts.groupBy(key).agg(F.collect_set("heading").alias("heads"), F.max(F.when(F.col("heading") == "Gaps", F.size(T.blocks(F.col("content"))))).alias("gaps"))
+    have = parts.groupBy(key).agg(F.collect_set("heading").alias("heads"), F.min_by(F.when(F.col("heading") == "Gaps", F.size(T.blocks(F.col("content")))), F.when(F.col("heading") == "Gaps", F.col("section_no"))).alias("gaps"))
     todo = docs.where(F.col(text).isNotNull()).select(key, F.col(text).contains("[!todo]").alias("todo"))
     checks = F.array(
         F.when(F.col("todo"), F.struct(F.lit(0).alias("ord"), F.lit("operator todo callouts remain in MASTER.md").alias("reason"))),

@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. ``spark.checkpoint.dir`` decides; one is made only where none is set (tests)."""
+    """The shared checkpoint folder, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master gets a folder of its machine; on a cluster that is an error, as executors share no such folder.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made, so a lost executor costs one read."""
+    """Materialise ``df`` in the shared folder and forget how it was made, so a lost executor costs one read.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes what no plan refers to any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of what finished steps shuffled: Spark's cleaner removes shuffle files once the driver has collected their plans.
-
-    Python's handles on the plans are given back by a thread of their own, so it takes a second round to reach them all.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.7)
-        spark.sparkContext._jvm.System.gc()

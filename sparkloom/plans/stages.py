@@ -6,6 +6,7 @@ place (phase, file, line, check), so their order does not depend on how the data
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import yaml
@@ -25,6 +26,24 @@ CLAIM = (
 DECISION = "group_id string, claim_ids array<string>, decision string, rule_applied string, decided_by string, winner string, note string"
 
 
+# Lines to copy, as the file formats have them.
+CLAIM_LINE = {"claim_type": "fact", "topic_tags": ["example-tag"], "confidence_as_stated": "unstated", "depends_on": []}
+DECISION_LINE = {"group_id": "G001", "claim_ids": ["S01-C001"], "decision": "UNIQUE", "rule_applied": "single_source", "decided_by": "operator", "winner": None, "note": ""}
+SHOWN = {"02-extract": 30, "03-reconcile": 20, "04-synthesis": 20, "05-audit": 20}  # how many reasons a command names; the gate file has all
+
+
+def workspace(source_id: str) -> str:
+    """An empty claims file: what a line looks like, as a comment."""
+    line = {"claim_id": f"{source_id}-C001", "source_id": source_id, "claim_text": "One claim of the source, restated", "supporting_quote_location": "Heading or place"} | CLAIM_LINE
+    place = {"source_locator": {"url": "https://...", "page": 12, "timestamp": "00:14:32", "anchor": "section"}}
+    return f"# Claims of {source_id}, one JSON object a line; lines that start with # are ignored.\n# {json.dumps(line)}\n# optional: {json.dumps(place)}\n"
+
+
+def messages(gate: dict) -> list[str]:
+    """What a command says of a gate: its status, the first reasons, all warnings."""
+    return [f"gate {gate['gate']}: {gate['status']}", *(f"FAIL: {r}" for r in gate["reasons"][: SHOWN.get(gate["gate"])]), *(f"warn: {w}" for w in gate["warnings"])]
+
+
 def file_name(c: str = "file"):
     return F.regexp_extract(F.col(c), r"([^/]+)$", 1)
 
@@ -63,14 +82,26 @@ class Project:
         return typed.withColumns({n: F.expr(f"try_cast({n} as int)") for n in ("recency_rank", "schema_version")})
 
     def lines(self, pattern: str) -> DataFrame:
-        return files.json_lines(files.read_texts(self.spark, str(self.root / pattern))).withColumn("file", file_name())
+        texts = files.read_texts(self.spark, str(self.root / pattern)) if any(self.root.glob(pattern)) else self.spark.createDataFrame([], "file string, text string")
+        return files.json_lines(texts).withColumn("file", file_name())
 
     def claim_lines(self) -> DataFrame:
         return self.lines("claims/S*-claims.jsonl").withColumn("source", F.regexp_extract("file", r"^([^-]+)-", 1))
 
     def claims(self, lines: DataFrame | None = None) -> DataFrame:
+        """What can be read of the claims, valid or not; ``source`` is the one whose file a claim stands in."""
         good = files.lenient(self.claim_lines() if lines is None else lines)
-        return good.select(F.from_json("raw", CLAIM).alias("c"), "file", "lineno").select("c.*", "file", "lineno")
+        return good.select(F.from_json("raw", CLAIM).alias("c"), "file", "lineno", "source").select("c.*", "file", "lineno", "source")
+
+    def valid_claims(self) -> DataFrame:
+        """All claims; the first invalid line, by file and place, is an error. Stages after the claims' gate read them so."""
+        lines = cut(self.claim_lines())
+        unread = lines.where("error is not null").select("file", "lineno", F.lit(0).alias("check_ord"), F.col("error").alias("problem"))
+        wrong = validate.faulty(files.lenient(lines), validate.claim_faults(validate.JsonRecord(), F.col("source")), "file", "lineno").select("file", "lineno", "check_ord", "problem")
+        first = unread.unionByName(wrong).orderBy("file", "lineno", "check_ord").limit(1).collect()
+        if first:
+            raise ValueError(f"{first[0].file}:{first[0].lineno}: {first[0].problem}")
+        return self.claims(lines)
 
     def decisions(self) -> DataFrame:
         good = files.lenient(self.lines("index/reconciliation.jsonl"))
@@ -140,19 +171,22 @@ class Project:
         again = claims.where("claim_id is not null").withColumns({"_n": F.row_number().over(w), "_first": F.first(F.concat_ws(":", "file", "lineno")).over(w)}).where("_n > 1")
         twice = again.select(self.place(1, F.col("file"), self.padded(F.col("lineno")), F.lit("~")), F.concat(at, F.lit(": duplicate claim_id "), F.col("claim_id"), F.lit(", first seen "), F.col("_first")).alias("reason"))
         loose = reconcile.dangling(claims).select(self.place(2, F.col("claim_id"), F.col("ref")), F.concat(F.coalesce("claim_id", F.lit("None")), F.lit(": dangling depends_on reference "), F.col("ref")).alias("reason"))
-        per = {r["source_id"]: r["n_claims"] for r in reconcile.claims_per_source(sources, claims).orderBy("source_id").collect()}
-        missing = sources.join(lines.select(F.col("source").alias("source_id")).distinct(), "source_id", "left_anti").select(self.place(0, F.col("source_id")), F.concat(F.col("source_id"), F.lit(": claims file missing")).alias("reason"))
+        per = {r["source_id"]: r["n_claims"] for r in reconcile.claims_per_source(sources, claims, rows_of="source").orderBy("source_id").collect()}
+        there = self.spark.createDataFrame([(p.name.split("-")[0],) for p in sorted((self.root / "claims").glob("S*-claims.jsonl"))], "source_id string")
+        missing = sources.join(there.distinct(), "source_id", "left_anti").select(self.place(0, F.col("source_id")), F.concat(F.col("source_id"), F.lit(": claims file missing")).alias("reason"))
         warnings = [f"{r[0]}: {r[1]}" for r in reconcile.locator_warnings(claims, sources).orderBy("claim_id", "warning").collect()]
-        warnings += [f"{r[0]}: source over 2KB yielded only {r[2]} claims, check coverage" for r in reconcile.thin_sources(sources, claims).orderBy("source_id").collect()]
-        reasons = missing.unionByName(bad).unionByName(wrong).unionByName(twice).unionByName(loose)
+        warnings += [f"{r[0]}: source over 2KB yielded only {r[2]} claims, check coverage" for r in reconcile.thin_sources(sources, claims, rows_of="source").orderBy("source_id").collect()]
+        reasons = cut(missing.unionByName(bad).unionByName(wrong).unionByName(twice).unionByName(loose))
+        if not sum(per.values()) and reasons.isEmpty():
+            reasons = self.spark.createDataFrame([((2, "", "", "", ""), "no claims extracted across any source")], reasons.schema)
         return self.write_gate("02-extract", reasons, {"claims_per_source": per, "total_claims": sum(per.values())}, warnings, dry_run=dry_run)
 
     def candidates(self) -> DataFrame:
-        return similarity.numbered(similarity.candidate_pairs(self.claims()))
+        return similarity.numbered(similarity.candidate_pairs(self.valid_claims()))
 
     def check_decisions(self, *, dry_run: bool = False) -> dict:
         audit.require_previous(self.statuses(), "03-reconcile")
-        claims, decisions = self.claims(), cut(self.decisions())
+        claims, decisions = self.valid_claims(), cut(self.decisions())
         lines = self.lines("index/reconciliation.jsonl")
         unknown = F.array_sort(F.collect_set("claim_id"))
         lost = reconcile.never_extracted(claims, decisions).groupBy("group_id").agg(unknown.alias("_u"))
@@ -179,7 +213,7 @@ class Project:
 
     def check_master(self, *, dry_run: bool = False) -> dict:
         audit.require_previous(self.statuses(), "04-synthesis")
-        claims, decisions, master = self.claims(), cut(self.decisions()), self.master()
+        claims, decisions, master = self.valid_claims(), cut(self.decisions()), self.master()
         parts = cut(synthesis.sections(master, "doc", "master_text"))
         say = lambda df, phase, order, *words: df.select(self.place(phase, *order), F.concat(*(w if hasattr(w, "cast") else F.lit(w) for w in words)).alias("reason"))
         general = synthesis.master_faults(master, "doc", "master_text")
@@ -199,7 +233,7 @@ class Project:
 
     def check_audit(self, *, dry_run: bool = False) -> dict:
         audit.require_previous(self.statuses(), "05-audit")
-        sources, claims, decisions = self.sources(), self.claims(), cut(self.decisions())
+        sources, claims, decisions = self.sources(), self.valid_claims(), cut(self.decisions())
         places = synthesis.first_citations(synthesis.sections(self.master(), "doc", "master_text"), "doc").select("claim_id", "location")
         matrix = cut(audit.trace_matrix(claims, decisions, places))
         drift = intake.drifted(sources)
@@ -226,24 +260,58 @@ class Project:
     def migrate(self, *, dry_run: bool = False) -> dict:
         return ingest.run_migrate(self, dry_run=dry_run)
 
+    def extract(self, *, dry_run: bool = False) -> dict[str, str]:
+        """A workspace for the claims of each source, with the line to copy; one that is there stays."""
+        audit.require_previous(self.statuses(), "02-extract")
+        done = {}
+        for r in self.sources().select("source_id").where("source_id is not null").distinct().orderBy("source_id").collect():
+            path = self.root / "claims" / f"{r[0]}-claims.jsonl"
+            done[path.name] = "kept-existing" if path.exists() else files.write_text(path, workspace(r[0]), self.root, dry_run=dry_run)
+        told = ["# Extracting claims", "", "One JSON object a line in each source's file; lines that start with # are ignored.", f"Types: {', '.join(validate.CLAIM_TYPES)}.", f"Confidence: {', '.join(validate.CONFIDENCE)}.", ""]
+        done["EXTRACTION-INSTRUCTIONS.md"] = files.write_text(self.root / "claims" / "EXTRACTION-INSTRUCTIONS.md", "\n".join(told), self.root, dry_run=dry_run)
+        return done
+
+    def reconcile(self, *, dry_run: bool = False) -> dict:
+        """The claims index, the numbered candidates, what to do with them, a file for the decisions if there is none, and the gate."""
+        audit.require_previous(self.statuses(), "03-reconcile")
+        put = lambda name, text: files.write_text(self.root / "index" / name, text, self.root, dry_run=dry_run)
+        done = {"claims-index.md": put("claims-index.md", self.index_text())}
+        # read by people, who decide on each
+        found = self.candidates().select("candidate_id", F.array("claim_id_a", "claim_id_b").alias("claim_ids"), F.split("shared_tags", ",").alias("shared_tags"), "token_overlap")
+        found = [r.asDict() for r in found.orderBy(F.length("candidate_id"), "candidate_id").collect()]
+        done["candidates.jsonl"] = put("candidates.jsonl", "".join(json.dumps(c) + "\n" for c in found))
+        told = [f"# Reconciling claims: {self.root.name}", "", "Every claim must stand in exactly one group of index/reconciliation.jsonl. Conflicts are written down, never resolved in silence.", "", f"Decisions: {', '.join(validate.DECISIONS)}.", ""]
+        told += ["## Rules", "", *(f"- {r}" for r in self.rules().get("rules") or []), "", "## Candidates", ""]
+        told += [f"- {c['candidate_id']}: {' and '.join(c['claim_ids'])} (shared tags {', '.join(c['shared_tags'])}, overlap {c['token_overlap']})" for c in found] or ["None were found."]
+        done["RECONCILIATION-INSTRUCTIONS.md"] = put("RECONCILIATION-INSTRUCTIONS.md", "\n".join([*told, ""]))
+        if not (self.root / "index" / "reconciliation.jsonl").exists():
+            done["reconciliation.jsonl"] = put("reconciliation.jsonl", f"# Decisions, one JSON object a line; lines that start with # are ignored.\n# {json.dumps(DECISION_LINE)}\n")
+        if dry_run and not (self.root / "index" / "reconciliation.jsonl").exists():
+            return {"files": done, "candidates": len(found), "gate": {"status": "PENDING", "reasons": []}}
+        return {"files": done, "candidates": len(found), "gate": self.check_decisions(dry_run=dry_run)}
+
     # --- writing -----------------------------------------------------------------------------------------------------------
 
-    def claims_index(self) -> str:
+    def index_text(self) -> str:
         """The claims by tag, as a page."""
         out = [f"# Claims index: {self.root.name}", ""]
         tag = None
-        for r in reconcile.tag_index(self.claims()).orderBy("tag", "claim_id").toLocalIterator():
+        for r in reconcile.tag_index(self.valid_claims()).orderBy("tag", "claim_id").toLocalIterator():
             if r["tag"] != tag:
                 out += ([""] if tag is not None else []) + [f"## {r['tag']}", ""]
                 tag = r["tag"]
             out.append(r["line"])
-        files.write_text(self.root / "index" / "claims-index.md", "\n".join([*out, ""]), self.root)
         return "\n".join([*out, ""])
 
+    def claims_index(self) -> str:
+        text = self.index_text()
+        files.write_text(self.root / "index" / "claims-index.md", text, self.root)
+        return text
+
     def plan(self) -> list[dict]:
         """The sections of the master, in order, with the claims each must cite."""
         projects = self.spark.createDataFrame([("p", list(self.rules().get("section_order") or []))], "project_id string, section_order array<string>")
-        claims = self.claims().withColumn("project_id", F.lit("p"))
+        claims = self.valid_claims().withColumn("project_id", F.lit("p"))
         placed = reconcile.section_plan(claims, self.decisions(), projects)
         grouped = placed.groupBy("section_rank", "tag", "title").agg(F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
         return [r.asDict() for r in grouped.orderBy(F.asc_nulls_last("section_rank"), "tag").collect()]
@@ -279,7 +347,7 @@ class Project:
             "project": self.root.name, "format": audit.FORMAT,
             "sections": rows(parts.select("heading", T.strip(F.col("content")).alias("text"))),
             "sources": rows(self.sources().drop("_body", "_file", "_error").orderBy("source_id")),
-            "claims": rows(self.claims().drop("file", "lineno").orderBy("claim_id")),
+            "claims": rows(self.valid_claims().drop("file", "lineno", "source").orderBy("claim_id")),
             "decisions": rows(decisions.orderBy("recorded_at").drop("recorded_at")),
             "winning_claims": {r["claim_id"]: r["group_id"] for r in reconcile.winners(decisions).collect()},
             "conflicts": [r["group_id"] for r in decisions.where("decision = 'CONFLICT'").orderBy("recorded_at").collect()],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text
 from sparkloom.operators import audit, intake, links, orphans, pages, reconcile, similarity, synthesis, validate
-from sparkloom.plans.lineage import table
+from sparkloom.plans.lineage import cut, table
 from sparkloom.sources import files
 from sparkloom.streaming import control
 
@@ -175,10 +175,9 @@ def source_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SOURCE_PROBLEMS_SQL + ", n as (select project_id, count(distinct source_id || ': ' || problem) n from p group by 1) select q.project_id, case when n > 0 then 'FAIL' else 'PASS' end status, coalesce(n, 0) n_reasons from (select distinct project_id from sources) q left join n using (project_id)")
 def gate_intake(spark: SparkSession, d: str) -> DataFrame:
-    reasons = _source_problems(spark, d).select("project_id", "source_id", "check_ord", F.concat_ws(": ", "source_id", "problem").alias("reason"))
-    # rows delivered again repeat their reasons, possibly at another check's place: the first place counts
-    reasons = reasons.groupBy("project_id", "source_id", "reason").agg(F.min("check_ord").alias("check_ord"))
-    return audit.gate(reasons, "project_id", table(spark, d, "sources"), "source_id", "check_ord").select("project_id", "status", "n_reasons")
+    reasons = _source_problems(spark, d).select("project_id", F.concat_ws(": ", "source_id", "problem").alias("reason"))
+    # rows delivered again repeat their reasons
+    return audit.gate_counts(reasons.select("project_id", "reason").distinct(), "project_id", table(spark, d, "sources"))
 
 
 # --- claims ----------------------------------------------------------------------------------------------------------------
@@ -316,7 +315,7 @@ select group_id, problem, count(*) n from e group by 1, 2
 def decision_problems(spark: SparkSession, d: str) -> DataFrame:
     groups = table(spark, d, "reconciliation")
     unknown = reconcile.never_extracted(table(spark, d, "claims"), groups).select("claim_id").distinct().withColumn("_u", F.lit(1))
-    rows = groups.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(groups.withColumn("_row", F.monotonically_increasing_id()))  # so that both sides see the same numbers
     # which of a row's ids are unknown, gathered per row (a row's list is short); hot ids are spread by the row they stand in
     mine = rows.select("_row", F.explode("claim_ids").alias("claim_id")).join(unknown, "claim_id").groupBy("_row").agg(F.collect_set("claim_id").alias("_unknown"))
     rules = table(spark, d, "projects").select("project_id", F.col("rules").alias("_rules"))

@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import audit, intake, links, pages, reconcile, similarity, synthesis
@@ -105,9 +108,46 @@ def test_numbering_is_gapless_and_ordered(spark):
 def test_control_stream_equals_batch(spark, tmp_path):
     queue = tmp_path / "queue"
     queue.mkdir()
-    lines = ['{"id":"1","session":"a","directive":"stop"}', "broken", '{"id":"1","session":"a","directive":"stop"}', '{"id":"2","session":"b","directive":"go"}', '{"id":"3","session":"a","directive":" "}', '{"id":"4","session":"a","directive":"continue automatically"}']
+    line = lambda i, s, d, e="directive": f'{{"id":"{i}","event":"{e}","session":"{s}","directive":"{d}"}}'
+    lines = [line(1, "a", "stop"), "broken", line(1, "a", "stop"), line(2, "b", "go"), line(3, "a", " "), line(4, "a", "continue automatically"), line(5, "a", "stop", "queued")]
     (queue / "q.json").write_text("\n".join(lines))
     sessions = spark.createDataFrame([("a", "active"), ("b", "done")], "session string, status string")
     stream = control.consume(control.read_queue(spark, str(queue)), sessions).writeStream.format("memory").queryName("asked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert {(r.id, r.action) for r in spark.table("asked").collect()} == {("1", "stop"), ("4", "automatic")}
+
+
+def test_queue_of_a_session(spark, tmp_path):
+    queue = control.Queue(tmp_path / "c")
+    with pytest.raises(ValueError, match="no guided session"):
+        queue.put("go")
+    one = queue.start()
+    with pytest.raises(ValueError, match="cannot be empty"):
+        queue.put("  ")
+    queue.put(" stop now ")
+    queue.put("look at the tables")
+    assert [(t["directive"], t["action"]) for t in queue.follow(spark)] == [("stop now", "stop"), ("look at the tables", "guidance")]
+    queue.put("run automatically")
+    assert [t["action"] for t in queue.follow(spark)] == ["automatic"] and queue.follow(spark) == []
+    queue.finish(one)
+    with pytest.raises(ValueError, match="no guided session"):
+        queue.put("go")
+    kinds = [json.loads(x)["event"] for x in queue.log.read_text().splitlines()]
+    assert kinds == ["session_started", "queued", "queued", "received", "interpreted", "received", "interpreted", "queued", "received", "interpreted", "session_finished"]
+
+
+def test_first_section_of_a_name_counts(spark):
+    docs = spark.createDataFrame([(1, "## Gaps\n\n## Gaps\nsome\n## Conflicts\nnone\n## Conflicts\nS01-C001")], "doc int, body string")
+    parts = synthesis.sections(docs, "doc", "body")
+    groups = spark.createDataFrame([("g", ["S01-C001"], "CONFLICT")], "group_id string, claim_ids array<string>, decision string")
+    assert [tuple(r) for r in synthesis.absent_conflicts(parts, "doc", groups).collect()] == [("g", "S01-C001")]
+    assert "Gaps section is empty" in {r.reason for r in synthesis.master_faults(docs, "doc", "body").collect()}
+    winners = spark.createDataFrame([("S01-C001", "g"), ("S01-C002", "h")], "claim_id string, group_id string")
+    assert [tuple(r) for r in synthesis.uncited_winners(parts, "doc", winners).collect()] == [("S01-C002", "h")]
+
+
+def test_candidates_are_numbered_over_all_ranges(spark):
+    pairs = spark.range(0, 1200, 1, 7).selectExpr("format_string('a%05d', (id * 7) % 1200) claim_id_a", "'b' claim_id_b")
+    got = [tuple(r) for r in similarity.numbered(pairs).orderBy(F.length("candidate_id"), "candidate_id").select("candidate_id", "claim_id_a").collect()]
+    assert got[:2] == [("P001", "a00000"), ("P002", "a00001")] and got[-1] == ("P1200", "a01199")
+    assert similarity.numbered(pairs.limit(0)).count() == 0

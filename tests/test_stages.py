@@ -3,7 +3,7 @@ import json
 import pytest
 import yaml
 
-from sparkloom.plans.stages import Project
+from sparkloom.plans.stages import Project, messages
 from sparkloom.sources.files import front_matter_text
 
 MASTER = "# M\n\n## Storage\n\nCompaction halves reads [S01-C001].\n\n## Conflicts\n\nS02-C001 against S02-C002.\n\n## Gaps\n\nNone known.\n\n## Appendix: Source Register\n\n| S01 |\n"
@@ -60,3 +60,45 @@ def test_reasons_in_order(project):
     assert yaml.safe_load((project.root / "gates" / "02-extract.yaml").read_text())["status"] == "FAIL"
     (project.root / "sources" / "S01-t.md").write_text((project.root / "sources" / "S01-t.md").read_text() + "tampered")
     assert project.check_intake()["reasons"] == ["S01: sha256 does not match body content"]
+
+
+def test_no_claims_fail_the_gate(project):
+    project.check_intake()
+    for n in (1, 2):
+        (project.root / "claims" / f"S0{n}-claims.jsonl").write_text("# none yet\n")
+    gate = project.check_claims()
+    assert gate["reasons"] == ["no claims extracted across any source"] and gate["checks"] == {"claims_per_source": {"S01": 0, "S02": 0}, "total_claims": 0}
+
+
+def test_counts_are_of_the_lines_of_a_sources_file(project):
+    project.check_intake()
+    rows = [claim("S02-C001", "a", ["t"]), claim("S02-C001", "b", ["t"]), claim("S01-C009", "c", ["t"])]
+    (project.root / "claims" / "S02-claims.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert project.check_claims()["checks"]["claims_per_source"] == {"S01": 1, "S02": 3}
+
+
+def test_later_stages_refuse_invalid_claims(project):
+    for f in (project.check_intake, project.check_claims):
+        assert f()["status"] == "PASS"
+    path = project.root / "claims" / "S02-claims.jsonl"
+    path.write_text(path.read_text() + "\n" + json.dumps(claim("S02-C003", "x", [])))
+    for stage in (project.check_decisions, project.candidates, project.claims_index, project.plan):
+        with pytest.raises(ValueError, match="S02-claims.jsonl:3: topic_tags"):
+            stage()
+
+
+def test_extract_and_reconcile_write_what_people_fill_in(project):
+    project.check_intake()
+    (project.root / "claims" / "S02-claims.jsonl").unlink()
+    assert project.extract()["S02-claims.jsonl"] == "created" and project.extract()["S01-claims.jsonl"] == "kept-existing"
+    assert project.check_claims()["status"] == "PASS"
+    (project.root / "index" / "reconciliation.jsonl").unlink()
+    out = project.reconcile()
+    assert out["gate"]["reasons"] == ["claim S01-C001 has no reconciliation decision"] and out["candidates"] == 0
+    assert (project.root / "index" / "reconciliation.jsonl").read_text().startswith("# ") and "- operator-ruling" in (project.root / "index" / "RECONCILIATION-INSTRUCTIONS.md").read_text()
+    rows = [claim("S02-C001", "Nightly compaction halves the read cost", ["storage"])]
+    (project.root / "claims" / "S02-claims.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert project.reconcile()["candidates"] == 1
+    found = json.loads((project.root / "index" / "candidates.jsonl").read_text())
+    assert found == {"candidate_id": "P001", "claim_ids": ["S01-C001", "S02-C001"], "shared_tags": ["storage"], "token_overlap": 0.833}
+    assert messages({"gate": "03-reconcile", "status": "FAIL", "reasons": ["r"] * 50, "warnings": ["w"]})[-2:] == ["FAIL: r", "warn: w"]
