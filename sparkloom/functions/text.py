@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 # What a line break, a citation, a claim id and a time look like in the evidence format.
 LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
 CITATION = r"S\d{2}-C\d{3}"
+WIDE_CITATION = r"S\d{7}-C\d{3}"
 TIMESTAMP = r"^\d{1,2}:\d{2}(:\d{2})?$"
 VIDEO_HOSTS = {"youtube": ("youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be"), "vimeo": ("vimeo.com", "www.vimeo.com", "player.vimeo.com")}
 SUFFIXES = (".md", ".txt", ".docx", ".pdf")
@@ -90,8 +91,8 @@ def section_title(tag: Column) -> Column:
     return F.array_join(F.transform(F.split(tag, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")
 
 
-def citations(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({CITATION})"), 1)
+def citations(c: Column, form: str = CITATION) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"({form})"), 1)
 
 
 def blocks(c: Column) -> Column:

@@ -34,25 +34,25 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cuts.select(key, F.posexplode(parts).alias("section_no", "part")).select(key, "section_no", "part.heading", "part.content")
 
 
-def first_citations(parts: DataFrame, key: str) -> DataFrame:
+def first_citations(parts: DataFrame, key: str, form: str = T.CITATION) -> DataFrame:
     """(key, claim_id, location): the first section that cites a claim, the appendix apart; before any heading it is ``preamble``."""
-    cites = parts.where(F.col("heading") != APPENDIX).select(key, "section_no", "heading", F.explode(F.array_distinct(T.citations(F.col("content")))).alias("claim_id"))
+    cites = parts.where(F.col("heading") != APPENDIX).select(key, "section_no", "heading", F.explode(F.array_distinct(T.citations(F.col("content"), form))).alias("claim_id"))
     first = cites.groupBy(key, "claim_id").agg(F.min_by("heading", "section_no").alias("heading"))
     return first.select(key, "claim_id", F.when(F.col("heading") == "", "preamble").otherwise(F.col("heading")).alias("location"))
 
 
-def prose_faults(parts: DataFrame, key: str) -> DataFrame:
+def prose_faults(parts: DataFrame, key: str, form: str = T.CITATION) -> DataFrame:
     """(key, section_no, heading, n_prose, n_unmarked): body sections without prose, or with prose that cites nothing."""
     prose = F.filter(T.blocks(F.col("content")), T.is_prose)
     body = parts.where((F.col("heading") != "") & ~F.col("heading").isin(*SPECIAL))
-    counted = body.select(key, "section_no", "heading", F.size(prose).cast("long").alias("n_prose"), F.size(F.filter(prose, lambda b: ~b.rlike(T.CITATION))).cast("long").alias("n_unmarked"))
+    counted = body.select(key, "section_no", "heading", F.size(prose).cast("long").alias("n_prose"), F.size(F.filter(prose, lambda b: ~b.rlike(form))).cast("long").alias("n_unmarked"))
     return counted.where("n_prose = 0 or n_unmarked > 0")
 
 
-def phantom_citations(parts: DataFrame, key: str, claims: DataFrame) -> DataFrame:
+def phantom_citations(parts: DataFrame, key: str, claims: DataFrame, form: str = T.CITATION) -> DataFrame:
     """(key, claim_id): cited ids that no claim has."""
     known = claims.select("claim_id").where("claim_id is not null").distinct()
-    return first_citations(parts, key).select(key, "claim_id").join(known, "claim_id", "left_anti").select(key, "claim_id")
+    return first_citations(parts, key, form).select(key, "claim_id").join(known, "claim_id", "left_anti").select(key, "claim_id")
 
 
 def first_section(parts: DataFrame, key: str, heading: str) -> DataFrame:
@@ -60,15 +60,15 @@ def first_section(parts: DataFrame, key: str, heading: str) -> DataFrame:
     return parts.where(F.col("heading") == heading).groupBy(key).agg(F.min_by("content", "section_no").alias("content"))
 
 
-def uncited_winners(parts: DataFrame, key: str, winners: DataFrame) -> DataFrame:
+def uncited_winners(parts: DataFrame, key: str, winners: DataFrame, form: str = T.CITATION) -> DataFrame:
     """(claim_id, group_id): claims that must be cited and nowhere are."""
-    return winners.join(first_citations(parts, key).select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", "group_id")
+    return winners.join(first_citations(parts, key, form).select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", "group_id")
 
 
-def absent_conflicts(parts: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+def absent_conflicts(parts: DataFrame, key: str, decisions: DataFrame, form: str = T.CITATION) -> DataFrame:
     """(group_id, claim_id): claims in conflict that the first Conflicts section doesn't cite."""
     named = decisions.where("decision = 'CONFLICT'").select("group_id", F.explode("claim_ids").alias("claim_id")).where("claim_id is not null").distinct()
-    cited = first_section(parts, key, "Conflicts").select(F.explode(T.citations(F.col("content"))).alias("claim_id")).distinct()
+    cited = first_section(parts, key, "Conflicts").select(F.explode(T.citations(F.col("content"), form)).alias("claim_id")).distinct()
     return named.join(cited, "claim_id", "left_anti").select("group_id", "claim_id")
 
 

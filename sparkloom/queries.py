@@ -11,7 +11,6 @@ from sparkloom.functions import text
 from sparkloom.operators import audit, intake, links, orphans, pages, reconcile, similarity, synthesis, validate
 from sparkloom.plans.lineage import cut, table
 from sparkloom.sources import files
-from sparkloom.streaming import control
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,14 +202,6 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.dangling(table(spark, d, "claims"))
 
 
-@query("""
-with n as (select s.source_id, count(distinct claim_id) n_claims from (select distinct source_id from sources) s left join claims c using (source_id) group by 1)
-select source_id, max(strlen(coalesce("_body", ''))) n_bytes, any_value(n_claims) n_claims from sources join n using (source_id) group by 1 having max(strlen(coalesce("_body", ''))) > 2048 and any_value(n_claims) < 3
-""")
-def thin_sources(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.thin_sources(table(spark, d, "sources"), table(spark, d, "claims"))
-
-
 @query("""
 with j as (select c.claim_id, source_locator l, source_type, s.url from claims c join (select distinct source_id, source_type, url from sources) s using (source_id))
 select distinct claim_id, 'video source claim without a timestamp locator' warning from j where source_type = 'video-transcript' and coalesce(l.timestamp, '') = ''
@@ -393,60 +384,6 @@ def citations_first_location(spark: SparkSession, d: str) -> DataFrame:
     return synthesis.first_citations(_sections(spark, d), "doc_id")
 
 
-@query(f"with {CITED_SQL} select doc_id, claim_id from f where claim_id not in (select claim_id from claims where claim_id is not null)")
-def phantom_citations(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.phantom_citations(_sections(spark, d), "doc_id", table(spark, d, "claims"))
-
-
-@query(rf"""
-with {SECTIONS_SQL},
-b as (select doc_id, section_no, heading, list_filter(list_transform(regexp_split_to_array(content, '\n[\s\x0b\x{{85}}\p{{Z}}]*\n'), lambda x: regexp_replace(x, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^(>|<!--|\||#)')) p
-  from s where heading not in ('', 'Conflicts', 'Gaps', 'Appendix: Source Register')),
-n as (select doc_id, section_no::int section_no, heading, len(p) n_prose, len(list_filter(p, lambda x: not regexp_matches(x, 'S\d{{2}}-C\d{{3}}'))) n_unmarked from b)
-select * from n where n_prose = 0 or n_unmarked > 0
-""")
-def prose_without_markers(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.prose_faults(_sections(spark, d), "doc_id")
-
-
-@query(f"""
-with {SECTIONS_SQL}, h as (select doc_id, list(heading) hs from s group by 1),
-r as (select doc_id, unnest([case when contains("text", '[!todo]') then 'operator todo callouts remain in MASTER.md' end,
-  case when not list_contains(hs, 'Conflicts') then 'mandatory section ''Conflicts'' missing' end, case when not list_contains(hs, 'Gaps') then 'mandatory section ''Gaps'' missing' end,
-  case when not list_contains(hs, 'Appendix: Source Register') then 'mandatory section ''Appendix: Source Register'' missing' end,
-  case when not list_contains(hs, 'Gaps') then 'Gaps section is empty' end]) reason from documents join h using (doc_id))
-select * from r where reason is not null
-""")
-def master_faults(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.master_faults(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "reason")
-
-
-MATRIX_SQL = f"""with {CITED_SQL},
-loc as (select claim_id, arg_min(case when h = '' then 'preamble' else h end, doc_id) "location" from f group by 1),
-d as (select claim_id, arg_max({{'g': group_id, 'd': decision, 'w': winner}}, {{'a': recorded_at, 'b': group_id, 'c': coalesce(decision, ''), 'e': coalesce(winner, '')}}) x
-  from (select *, unnest(claim_ids) claim_id from reconciliation where group_id is not null) where claim_id is not null group by 1),
-m as (select source_id, claim_id, case when x is null then 'UNDECIDED' else coalesce(x.d, 'None') end decision, coalesce(x.g, '') group_id, coalesce("location", '') "location", x.w w, "location" is not null cited
-  from (select distinct source_id, claim_id from claims where claim_id is not null) left join d using (claim_id) left join loc using (claim_id)),
-t as (select source_id, claim_id, decision, group_id, "location", case when decision = 'SUPERSEDED' and w is distinct from claim_id then 'superseded by ' || coalesce(w, 'None')
-  when decision = 'OUT_OF_SCOPE' then 'excluded' when decision = 'CONFLICT' then 'logged in Conflicts' when cited then 'cited' else 'NOT CITED' end status from m)
-"""
-
-
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    places = synthesis.first_citations(_sections(spark, d), "doc_id").groupBy("claim_id").agg(F.min_by("location", "doc_id").alias("location"))
-    return audit.trace_matrix(table(spark, d, "claims"), table(spark, d, "reconciliation"), places)
-
-
-@query(MATRIX_SQL + "select * from t")
-def trace_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _matrix(spark, d)
-
-
-@query(MATRIX_SQL + "select source_id, count(*) filter (decision <> 'UNDECIDED') accounted, count(*) extracted, count(*) filter (decision <> 'UNDECIDED') || '/' || count(*) coverage from t group by 1")
-def coverage_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return audit.coverage(_matrix(spark, d))
-
-
 # --- links, pages, captions, control ---------------------------------------------------------------------------------------
 
 HOSTS = "case when h in ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be') then 'youtube' when h in ('vimeo.com', 'www.vimeo.com', 'player.vimeo.com') then 'vimeo' else 'url' end"
@@ -497,14 +434,17 @@ o as (select target, case when stage <> 'new' then stage when original <> target
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    docs, sources = table(spark, d, "fetched_docs").where("url is not null"), table(spark, d, "sources")
+    return outcomes(table(spark, d, "fetched_docs").where("url is not null"), table(spark, d, "sources"))
+
+
+def outcomes(docs: DataFrame, sources: DataFrame, only: str | None = None) -> DataFrame:
     targets = docs.groupBy(F.col("url").alias("target")).agg(F.min("fetch_id").alias("ord"), F.min_by("source_id", "fetch_id").alias("parent")).withColumn("kind", text.classify_target(F.col("target")))
     got = docs.where("body_markdown is not null").groupBy(F.col("url").alias("target")).agg(
         F.min_by("body_markdown", "fetch_id").alias("body"), F.min_by(F.lower(F.trim("transcript_status")), "fetch_id").alias("transcript_status"))
     status = F.when(F.col("transcript_status") == "pending", "transcript_pending").otherwise("fetched")
     prior = sources.where("url is not null").groupBy(F.col("url").alias("target")).agg(
         F.max(status).alias("status"), F.min("source_id").alias("source_id"), F.min("resolved_from").alias("resolved_from"), F.min("sha256").alias("sha256"))
-    return intake.resolve_outcomes(targets, prior, got.withColumn("error", F.lit(None).cast("string")), sources.select("source_id", "sha256"))
+    return intake.resolve_outcomes(targets, prior, got.withColumn("error", F.lit(None).cast("string")), sources.select("source_id", "sha256"), only)
 
 
 @query(f"with {RESOLVE_SQL} select target, outcome from o")
@@ -540,25 +480,6 @@ def cue_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return pages.paragraphs(cues, "user_id", keep=("n",)).select("user_id", "n", "para")
 
 
-@query("""
-select event_id::varchar id, user_id::varchar "session", event_type directive, case when lower(trim(event_type)) in ('stop', 'stop now', 'pause', 'pause now') then 'stop' when contains(lower(event_type), 'auto') then 'automatic' else 'guidance' end "action"
-from (select distinct event_id, user_id, event_type from events) where event_type is not null and trim(event_type) <> '' and user_id in (select user_id from events group by 1)
-""")
-def control_consumed(spark: SparkSession, d: str) -> DataFrame:
-    """Events as directives of their user's session; every user's session is active."""
-    e = table(spark, d, "events")
-    events = e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("directive"))
-    return control.consume(events, events.select("session").distinct().withColumn("status", F.lit("active")))
-
-
-@query()
-def caption_parse(spark: SparkSession, d: str) -> DataFrame:
-    """The cues of the transcripts that are WebVTT, as paragraphs of timed lines."""
-    docs = table(spark, d, "fetched_docs").where("contains(body_markdown, 'WEBVTT')").select("fetch_id", "body_markdown").distinct()
-    cues = docs.select("fetch_id", F.inline(pages.parse_vtt(F.col("body_markdown"))))
-    return pages.paragraphs(cues, "fetch_id")
-
-
 @query(r"""
 select distinct source_id, source_id read_id, length("_body") n_chars, null::varchar error from (select distinct source_id, title, "_body" from sources where "_body" is not null)
 """)
