@@ -1,14 +1,15 @@
 """Statistics of each document's text, and telling prose from lists, tables and junk (problem 9).
 
 Method: gradient-boosted trees on the statistics. The trees learn from weak labels, which name what most of a text's characters
-stand in (sentences, items, rows of fields, unreadable or merely repeated matter) and abstain where that is close; the
-probabilities are calibrated on the hand-checked labels, which no tree that scores them has seen. At any size of input every checked label counts: one
+stand in (sentences, items, rows of fields, unreadable or merely repeated matter) and abstain where that is close. What the labels
+are taken from, the shares of those kinds, is no statistic the trees see, so they have to find it out from counts of words, marks,
+line shapes and repetition. The probabilities are calibrated on the hand-checked labels, which no tree that scores them has seen. At any size of input every checked label counts: one
 whose document is among the training rows calibrates by the score of trees fitted without its fold. Training takes at most ``TRAIN_ROWS`` weakly
 labelled and ``HOLDOUT_ROWS`` hand-checked documents, those of the smallest hash, so any executor or rerun picks the same; the
 statistics and the decision cover every document in full.
 
-Defined results: null, empty and blank texts have no statistics (zeros) and no kind; rows of one doc_id count as one document
-(which of several texts counts is then the smallest); without hand-checked labels the probabilities stay as trained; without
+Defined results: null, empty and blank texts have no statistics (zeros) and no kind; every row counts as a document of its own,
+so rows of one doc_id each come out; without hand-checked labels the probabilities stay as trained; without
 documents there is no result.
 """
 
@@ -49,7 +50,7 @@ SEPARATORS = "|\t;,"
 CITED = re.compile(r"(?:\s*\[[^\[\]\s]{3,20}\])+\s*$")
 NAMES = (
     "n_words mean_word n_lines mean_line ends_in_point common letters digits symbols blanks upper_inside vowels broken encoded long_words numbers "
-    "distinct_words distinct_lines distinct_threes packed marked piped fielded short_lines prose_chars list_chars table_chars junk_chars"
+    "distinct_words distinct_lines distinct_threes packed marked piped fielded short_lines in_marked in_fielded in_pointed in_wordy in_unknown"
 ).split()
 
 
@@ -87,6 +88,7 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
     spaced = sum(aligned) >= 3
     mass = dict.fromkeys(KINDS, 0.0)
     marked = piped = fielded = short = points = 0
+    within = dict.fromkeys(("marked", "fielded", "pointed", "wordy", "unknown"), 0)  # characters in lines of a shape
     for line, found, known, (pipes, tabs, semis, commas), lined_up in zip(lines, lowered, known_of, separate, aligned):
         body = line.strip()
         if body[-1] == "]":
@@ -126,6 +128,8 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
         else:
             kind = "prose"
         mass[kind] += len(line)
+        for shape, so in (("marked", is_marked), ("fielded", is_row), ("pointed", ends), ("wordy", k >= 8), ("unknown", few)):
+            within[shape] += len(line) * bool(so)
     distinct_threes = len(threes) / max(1, len(lower) - 2) if len(lower) > 8 else 1.0
     packed = len(zlib.compress(text.encode("utf-8", "replace"), 1)) / max(1, len(text.encode("utf-8", "replace"))) if n > 60 else 0.8
     total = sum(mass.values()) or 1.0
@@ -136,7 +140,7 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
         sum(1 for w in words if len(w) > 3 and w[1:] != w[1:].lower() and w != w.upper()) / max(1, len(words)),
         vowels / max(1, letters), broken_all / n, encoded / n, long_chars / size,
         sum(1 for w in words if w.isdigit()) / max(1, len(words)), len(set(lower)) / max(1, len(words)), len(set(lines)) / max(1, n_lines), distinct_threes, packed,
-        marked / max(1, n_lines), piped / max(1, n_lines), fielded / max(1, n_lines), short / max(1, n_lines), *(shares[k] for k in KINDS),
+        marked / max(1, n_lines), piped / max(1, n_lines), fielded / max(1, n_lines), short / max(1, n_lines), *(x / total for x in within.values()),
     ]
     repeated = len(lower) > 20 and distinct_threes < 0.34
     if repeated or len(lower) < 2 and letters < 0.5 * size:

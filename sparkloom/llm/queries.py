@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     kinds = quality.document_kinds(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "common_words"))
-    return kinds.where("kind <> 'prose'").select("doc_id", "kind")
+    return kinds.where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
 @query(r"""

@@ -1,7 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkloom.llm import boilerplate, quality, turns
-from sparkloom.llm.boosting import BoostedTrees
+from sparkloom.llm.boosting import BoostedTrees, softmax
 from sparkloom.llm.peg import Grammar, choice, many, ref, sequence, token
 
 PAGE = """Quoril  Home  Contact  Blog
@@ -183,3 +184,23 @@ def test_all_common_words_count(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "the of and to in")], "doc_id long, text string")
     words = spark.createDataFrame([(w,) for w in ("the", "The", "of", "and", "to", "in", None)], "word string")
     assert quality.document_statistics(docs, words).first()["common_share"] == 1.0
+
+
+def test_the_holdout_is_there_and_calibration_helps_what_it_has_not_seen(spark, sf):
+    folder = sf.replace("0.001", "0.01")
+    common = quality._word_list(spark.read.parquet(f"{folder}/common_words.parquet"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select("doc_id", "text").collect()}
+    measured = {i: quality.statistics(t, common) for i, t in sorted(texts.items()) if t.strip()}
+    assert not any(name in k for k in quality.KINDS for name in quality.NAMES)  # no share of a kind is a statistic
+    train = [{"doc_id": i, "x": x, "weak": w} for i, (x, w) in measured.items() if w]
+    names = {r.doc_id: r.label for r in spark.read.parquet(f"{folder}/doc_labels.parquet").where("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n")).where("n = 1").collect()}
+    hold = [{"doc_id": i, "x": measured[i][0], "label": k} for i, k in sorted(names.items()) if i in measured]
+    model = quality._fit(train)
+    scores, truth = quality._unseen_scores(model, train, hold)
+    assert len(truth) == len(hold) > 100
+    even = np.arange(len(truth)) % 2 == 0
+    loss = lambda p: -np.log(np.clip(p[np.arange((~even).sum()), truth[~even]], 1e-9, 1)).mean()
+    before = softmax(np.clip(scores[~even], -8, 8))
+    model.calibrate(None, truth[even], scores=scores[even])
+    assert loss(softmax(np.clip(scores[~even], -8, 8) * model.scale + model.shift)) < loss(before)
+    assert (before.argmax(1) == truth[~even]).mean() > 0.9
