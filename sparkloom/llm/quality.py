@@ -42,6 +42,7 @@ SPACED = re.compile(r"\S {2,}\S|\S {2,}$")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 ENCODED = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;|\\u[0-9A-Fa-f]{4})")
 BROKEN = re.compile(r"[\ufffd¬¢€ÃÂ\x80-\x9f]|[^\W\d_][$^~|<>%=*+#?!]+[^\W\d_]")
+MIXED = re.compile(r"[a-z][A-Z]")
 PACKED = re.compile(r"\b[A-Za-z0-9+/]{32,}={0,2}")
 ODD = frozenset("\ufffd¬¢€ÃÂ$^~|<>%=*+#") | frozenset(map(chr, range(0x80, 0xA0)))
 VOWELS = frozenset("aeiouyäöüáéíóúàèùâêîôûœæëïAEIOUYÄÖÜÁÉÍÓÚÀÈÙÂÊÎÔÛ")
@@ -60,16 +61,15 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
         return [0.0] * len(NAMES), None
     lines = [x for x in text.splitlines() if x.strip()]
     n, n_lines = len(text), len(lines)
-    words = [WORD.findall(x) for x in lines]
-    lowered = [[w.lower() for w in ws] for ws in words]
-    known_of = [sum(w in common for w in ws) for ws in lowered]
-    words, lower = list(chain.from_iterable(words)), list(chain.from_iterable(lowered))
+    lowered = [WORD.findall(x.lower()) for x in lines]
+    known_of = [sum(map(common.__contains__, ws)) for ws in lowered]
+    lower = list(chain.from_iterable(lowered))
     chars_of = Counter(text)
     letters = sum(c for x, c in chars_of.items() if x.isalpha())
     digits = sum(c for x, c in chars_of.items() if x.isdigit())
     blanks = sum(c for x, c in chars_of.items() if x.isspace())
     vowels = sum(c for x, c in chars_of.items() if x in VOWELS)
-    hits = sum(known_of)
+    hits, n_words = sum(known_of), len(lower)
     size = max(1, n - blanks)
     coded = ENCODED.search(text) is not None
     torn = (not ODD.isdisjoint(chars_of) or chars_of["?"] + chars_of["!"] > 0.01 * n) and BROKEN.search(text) is not None
@@ -88,7 +88,7 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
     spaced = sum(aligned) >= 3
     mass = dict.fromkeys(KINDS, 0.0)
     marked = piped = fielded = short = points = 0
-    within = dict.fromkeys(("marked", "fielded", "pointed", "wordy", "unknown"), 0)  # characters in lines of a shape
+    in_marked = in_fielded = in_pointed = in_wordy = in_unknown = 0  # characters in lines of a shape
     for line, found, known, (pipes, tabs, semis, commas), lined_up in zip(lines, lowered, known_of, separate, aligned):
         body = line.strip()
         if body[-1] == "]":
@@ -127,20 +127,24 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], str | No
             kind, short = "list", short + 1
         else:
             kind = "prose"
-        mass[kind] += len(line)
-        for shape, so in (("marked", is_marked), ("fielded", is_row), ("pointed", ends), ("wordy", k >= 8), ("unknown", few)):
-            within[shape] += len(line) * bool(so)
+        size_of = len(line)
+        mass[kind] += size_of
+        in_marked += size_of if is_marked else 0
+        in_fielded += size_of if is_row else 0
+        in_pointed += size_of if ends else 0
+        in_wordy += size_of if k >= 8 else 0
+        in_unknown += size_of if few else 0
     distinct_threes = len(threes) / max(1, len(lower) - 2) if len(lower) > 8 else 1.0
     packed = len(zlib.compress(text.encode("utf-8", "replace"), 1)) / max(1, len(text.encode("utf-8", "replace"))) if n > 60 else 0.8
     total = sum(mass.values()) or 1.0
     shares = {k: v / total for k, v in mass.items()}
     values = [
-        len(words), sum(map(len, words)) / max(1, len(words)), n_lines, n / max(1, n_lines), points / max(1, n_lines), hits / max(1, len(words)),
+        n_words, sum(map(len, lower)) / max(1, n_words), n_lines, n / max(1, n_lines), points / max(1, n_lines), hits / max(1, n_words),
         letters / size, digits / size, (size - letters - digits) / size, blanks / n,
-        sum(1 for w in words if len(w) > 3 and w[1:] != w[1:].lower() and w != w.upper()) / max(1, len(words)),
+        sum(1 for w in WORD.findall(text) if len(w) > 3 and w[1:] != w[1:].lower() and w != w.upper()) / max(1, n_words) if MIXED.search(text) else 0.0,
         vowels / max(1, letters), broken_all / n, encoded / n, long_chars / size,
-        sum(1 for w in words if w.isdigit()) / max(1, len(words)), len(set(lower)) / max(1, len(words)), len(set(lines)) / max(1, n_lines), distinct_threes, packed,
-        marked / max(1, n_lines), piped / max(1, n_lines), fielded / max(1, n_lines), short / max(1, n_lines), *(x / total for x in within.values()),
+        sum(map(str.isdigit, lower)) / max(1, n_words), len(set(lower)) / max(1, n_words), len(set(lines)) / max(1, n_lines), distinct_threes, packed,
+        marked / max(1, n_lines), piped / max(1, n_lines), fielded / max(1, n_lines), short / max(1, n_lines), *(x / total for x in (in_marked, in_fielded, in_pointed, in_wordy, in_unknown)),
     ]
     repeated = len(lower) > 20 and distinct_threes < 0.34
     if repeated or len(lower) < 2 and letters < 0.5 * size:
