@@ -1,8 +1,8 @@
 """Clean speaker turns out of raw transcripts (problem 5).
 
-Method: two parsing-expression grammars. LINES reads what a line of a transcript is: a cue's time, alone or with a label, a cue
-number, a heading, or speech with a label before it or a time behind it. SPEECH reads nested annotations, times, hesitations
-and words within what was said. The trees become cues (time, label, words); cues are put in order of time, labels are resolved
+Method: three parsing-expression grammars. LINES reads what a line of a transcript is: a cue's time, alone or with a label, a cue
+number, a heading, or speech with a time behind it. LABELS reads the ways a label stands before speech: as a voice tag, in bold,
+after chevrons, before a colon. SPEECH reads nested annotations, times, hesitations and words within what was said. The trees become cues (time, label, words); cues are put in order of time, labels are resolved
 to speakers, and the cues of one speaker in a row become a turn.
 
 A label names a speaker by the full name, either order, by first or last name, by initials, as ``Speaker N`` of the
@@ -30,7 +30,7 @@ from sparkloom.llm.peg import Grammar, Tree, choice, many, maybe, ref, sequence,
 MOST_SPEAKERS = 100_000
 CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 # Sounds of hesitation, and words by which an annotation tells of a sound.
-HESITATION = r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+-?h+m+|mm+|uh-huh|uh-uh|mm-mm)(?![\w'’-])[,.…]*"
+HESITATION = r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+-?h+m+|mm+|uh-huh|uh-uh|mm-mm)(?![\w'’-])"
 SOUND = re.compile(
     r"\b(?:applau\w*|applaus|laugh\w*|chuckl\w*|giggl\w*|cough\w*|sigh\w*|sneez\w*|gasp\w*|sniff\w*|groan\w*|cheer\w*|boo\w*|crosstalk|cross-talk|overlapping|inaudible|unintelligible|indistinct|"
     r"noise|static|silence|pause\w*|music|singing|sings|hum\w*|door\w*|phone\w*|bell\w*|ring\w*|knock\w*|beep\w*|typing|clears? throat|throat|background|recording|audio|video|tape|sound\w*|whisper\w*|"
@@ -51,7 +51,7 @@ LINES = Grammar(
     rest=many(choice(sequence(unless(ref("trailing")), token(r"[^\[]+|\[")))),
 )
 SPEECH = Grammar(
-    speech=many(choice(ref("annotation"), ref("hesitation"), ref("word"), token(r"\s+"))),
+    speech=many(choice(token(rf"(?:(?!(?i:{HESITATION}))[^\s\[\](<>*♪♫]++[)\]]*+\s*+)+"), ref("annotation"), ref("hesitation"), ref("word"), token(r"\s+"))),
     annotation=choice(
         sequence(token(r"\["), many(choice(ref("annotation"), token(r"[^\[\]]+"))), token(r"\]")),
         sequence(token(r"<"), many(choice(ref("annotation"), token(r"[^<>]+"))), token(r">")),
@@ -59,13 +59,18 @@ SPEECH = Grammar(
         sequence(token(r"\*(?=[^*\s][^*\n]*\*)"), ref("told"), token(r"\*")),
         token(r"[♪♫][^♪♫\n]*[♪♫]?")),
     told=many(choice(token(r"[^()*\[\]<>]+"))),
-    hesitation=token(HESITATION, "", re.IGNORECASE),
+    hesitation=token(HESITATION + r"[,.…]*", "", re.IGNORECASE),
     word=token(r"[\[(<*]?[^\s\[\](<>*♪♫]+[)\]]*|\S"),
 )
-VOICE = re.compile(r"\s*<v(?:\.[\w.]+)?\s+([^>]*)>(.*?)(?:</v>)?\s*$", re.DOTALL)
-BOLD = re.compile(r"\s*(?:\*\*|__)\s*([^*_\n]{1,80}?)\s*:?\s*(?:\*\*|__)\s*:?(.*)$", re.DOTALL)
-CHEVRON = re.compile(r"\s*>>+\s*([^:\n]{1,80}?)\s*:(.*)$", re.DOTALL)
-COLON = re.compile(r"\s*(?:[-–]\s*)?([^:\[\]<>\n*]{1,80}?)\s*:\s(.*)$|\s*([^:\[\]<>\n*]{1,80}?)\s*:()$", re.DOTALL)
+LABELS = Grammar(
+    voice=sequence(token(r"\s*<v(?:\.[\w.]+)?\s+"), token(r"[^>]*", "label"), token(r">"), token(r"[\s\S]*?(?=(?:</v>)?\s*\Z)", "said"), token(r"(?:</v>)?\s*")),
+    bold=sequence(token(r"\s*(?:\*\*|__)\s*"), token(r"[^*_\n]{1,80}?(?=\s*:?\s*(?:\*\*|__))", "label"), token(r"\s*:?\s*(?:\*\*|__)\s*:?"), ref("all")),
+    chevron=sequence(token(r"\s*>>+\s*"), token(r"[^:\n]{1,80}?(?=\s*:)", "label"), token(r"\s*:"), ref("all")),
+    colon=sequence(token(r"\s*(?:[-–]\s*)?"), token(r"[^:\[\]<>\n*]{1,80}?(?=\s*:(?:\s|\Z))", "label"), token(r"\s*:(?:\s|\Z)"), ref("all")),
+    all=token(r"[\s\S]*", "said"),
+)
+FORMS = ("voice", "bold", "chevron", "colon")  # most marked first
+FRAMED = re.compile(rf"[\[(]?{CLOCK}[\])]?")
 TITLES = re.compile(r"^(?:dr|prof|mr|mrs|ms|sir|dame|herr|frau|m|mme|sr|sra)\.?\s+(?=\S{2,})", re.IGNORECASE)
 NUMBERED = re.compile(r"speaker\s*#?\s*(\d+)$", re.IGNORECASE)
 
@@ -144,7 +149,7 @@ def words_of(text: str) -> list[str]:
             pieces.append(p.text(text) if before and not before.isspace() and before not in "([<*>])\"“—–-,." else " ")
         else:
             pieces.append(p.text(text))
-    return [w for w in "".join(pieces).split() if any(map(str.isalnum, w)) and not re.fullmatch(rf"[\[(]?{CLOCK}[\])]?", w)]
+    return [w for w in "".join(pieces).split() if any(map(str.isalnum, w)) and not (":" in w and FRAMED.fullmatch(w))]
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -171,6 +176,7 @@ class Speakers:
     def __init__(self, people: list[tuple[int, str]]) -> None:
         self.people = [(i, " ".join(n.lower().split())) for i, n in people if n and n.strip()]
         self.full = {n: i for i, n in reversed(self.people)}
+        self.misspelt: dict[str, int | None] = {}  # labels compared with everyone's name before
 
     def in_text(self, text: str) -> set[int]:
         low = " ".join(re.sub(r"[^\w\s-]", " ", text.lower()).split())
@@ -206,22 +212,29 @@ class Speakers:
                 found = {i for i, n in group if letters in ("".join(w[0] for w in n.split()), "".join(w[0] for w in re.split(r"[\s-]", n)))}
                 if len(found) == 1:
                     return found.pop()
-        for group in (near, self.people):
-            if len(name) >= 5:
-                scored = sorted((min([slips(name, n, 2), *(slips(name, w, 1) for w in n.split() if " " not in name and len(w) >= 5)]), i) for i, n in group)
-                if scored and scored[0][0] <= 2 and (len(scored) == 1 or scored[1][0] > scored[0][0]):
-                    return scored[0][1]
-        return None
+        if len(name) < 5:
+            return None
+        if (found := self.closest(name, near)) is not None:
+            return found
+        if name not in self.misspelt:
+            if len(self.misspelt) >= MOST_SPEAKERS:
+                self.misspelt.clear()
+            self.misspelt[name] = self.closest(name, self.people)
+        return self.misspelt[name]
+
+    @staticmethod
+    def closest(name: str, group: list[tuple[int, str]]) -> int | None:
+        """The one person of the group whose name is at most two slips away, and nearer than any other's."""
+        scored = sorted((min([slips(name, n, 2), *(slips(name, w, 1) for w in n.split() if " " not in name and len(w) >= 5)]), i) for i, n in group)
+        return scored[0][1] if scored and scored[0][0] <= 2 and (len(scored) == 1 or scored[1][0] > scored[0][0]) else None
 
 
 def split_label(cue: Cue) -> list[tuple[str, str]]:
     """The readings (label, speech) a cue's text allows, most marked first."""
-    out = []
-    for form in (VOICE, BOLD, CHEVRON, COLON):
-        if m := form.match(cue.text):
-            groups = [g for g in m.groups() if g is not None]
-            out.append((groups[0], groups[1] if len(groups) > 1 else ""))
-    return out
+    if ":" not in cue.text and ">" not in cue.text and "__" not in cue.text and "**" not in cue.text:
+        return []
+    trees = (LABELS.parse(form, cue.text) for form in FORMS)
+    return [(deep(t, "label").text(cue.text), deep(t, "said").text(cue.text)) for t in trees if t is not None]
 
 
 def turns(body: str | None, people: Speakers) -> list[tuple[int, int, float, int, str]]:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -204,3 +206,15 @@ def test_the_holdout_is_there_and_calibration_helps_what_it_has_not_seen(spark,
     model.calibrate(None, truth[even], scores=scores[even])
     assert loss(softmax(np.clip(scores[~even], -8, 8) * model.scale + model.shift)) < loss(before)
     assert (before.argmax(1) == truth[~even]).mean() > 0.9
+
+
+def test_tree_links_and_density_find_most_without_the_phrase_lists(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/fetched_docs.parquet").where("source_type = 'html-article' and body_markdown is not null")
+    rows = [tuple(r) for r in pages.select("body_markdown", "url", "origin").distinct().collect()]
+    every = [set(boilerplate.foreign_lines(*r)) for r in rows]
+    monkeypatch.setattr(boilerplate, "ELSEWHERE", ())
+    monkeypatch.setattr(boilerplate, "LABELS", frozenset())
+    monkeypatch.setattr(boilerplate, "SPEAKS", re.compile(r"(?!x)x"))
+    without = [set(boilerplate.foreign_lines(*r)) for r in rows]
+    assert all(a >= b for a, b in zip(every, without))
+    assert sum(map(len, without)) > 0.6 * sum(map(len, every))
