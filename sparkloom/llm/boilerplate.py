@@ -46,7 +46,7 @@ LABELS = frozenset(
     "accept all|reject all|got it|only necessary|save preferences|manage settings|alle akzeptieren|ablehnen|einstellungen speichern|tout accepter|tout refuser|enregistrer|aceptar todo|"
     "rechazar|guardar|impressum|datenschutz|agb|imprint|privacy|terms of use|terms|legal notice|mentions légales|vie privée|aviso legal|privacidad|subscribe|unsubscribe|rss|feed".split("|")
 )
-# How sites speak to visitors and of themselves.
+# How sites speak to visitors and of themselves, in lower case.
 SPEAKS = re.compile(
     r"(?:\b(?:we|this site|by continuing|accept|manage)\b.*\b(?:cookies?|tracking technolog\w+|choices)\b|\byour (?:privacy|device|choices|consent)\b|\bprivacy matters\b|\bon your device\b"
     r"|\b(?:wir verwenden|nous utilisons|usamos|utilizamos)\b.*\bcookies?\b|\bauf ihrem gerät\b|\bsur votre appareil\b|\ben su dispositivo\b|\bsie können frei\b|\busted decide\b"
@@ -56,7 +56,6 @@ SPEAKS = re.compile(
     r"|\b(?:enjoying this|share it with|get one mail|one mail a week|newsletter|digest and|rundbrief|lettre de|boletín de)\b|\b(?:registration required|no card needed|free for \d+ days)\b"
     r"|\breceive a fee\b|\bdo not bind\b|^download the full|^try \w+ pro\b|^\d+ (?:comments?|kommentare?|commentaires?|comentarios?)$"
     r"|^(?:posted|published|updated) (?:in|on|by)\b|^\d+ (?:min|minutes?) read$|^tags? ?:|^filed under)",
-    re.IGNORECASE,
 )
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 HEADING = re.compile(r"\s{0,3}(#{1,6})\s+\S")
@@ -180,7 +179,7 @@ def is_furniture(line: str, names: frozenset[str], title: str) -> bool:
     plain = LINK.sub(r"\1", text)
     low = bare(plain).lower()
     words = WORD.findall(low)
-    if SPEAKS.search(low) or SPEAKS.search(low.lstrip("_*")):
+    if SPEAKS.search(low) or low[:1] in ("_", "*") and SPEAKS.search(low.lstrip("_*")):
         return True
     if names and not names.isdisjoint(words):
         return True
