@@ -84,32 +84,31 @@ def _zones(overlap: int):
     return run
 
 
-def _cuts(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(one, cuts): the positions at which each long text may be cut, in order, with 0 first."""
-    # a chunk's piece starts one overlap early, to get into step, and ends two late: the zone after its end, and what closes the zone's last pre-token
-    chunks = long_docs.select(
-        "one", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("n")
-    ).select(
-        "one", "n",
-        F.expr(f"substring(text, greatest(n * {chunk} - {overlap}, 0) + 1, {chunk} + 3 * {overlap})").alias("piece"),
-        F.expr(f"if(n = 0, 0, {overlap})").alias("core_lo"),
-        F.expr(f"if(n = 0, 0, {overlap}) + {chunk}").alias("core_hi"),
-    )
+def _blocks(long_docs: DataFrame, chunk: int) -> DataFrame:
+    """(one, blocks): each text cut into blocks of ``chunk`` characters, in one pass over it."""
+    return long_docs.select("one", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}+"), F.lit(0)).alias("blocks"))
+
+
+def _cuts(blocks: DataFrame, overlap: int) -> DataFrame:
+    """(one, n, at, piece, before): where in block n the text may be cut (null: nowhere), the piece that goes on behind it and the one before.
+
+    A piece is numbered by the block it starts in.
+    """
+    # a chunk starts one overlap early, to get into step, and ends two late: the zone after its end, and what closes the zone's last pre-token
+    around = lambda b, i: F.concat(
+        F.when(i > 0, F.right(F.get("blocks", F.greatest(i - 1, F.lit(0))), F.lit(overlap))).otherwise(""), b, F.left(F.coalesce(F.get("blocks", i + 1), F.lit("")), F.lit(2 * overlap)))
+    chunks = blocks.select("one", F.posexplode(F.transform("blocks", lambda b, i: F.struct(around(b, i).alias("piece"), F.length(b).alias("size")))).alias("n", "c"))
+    chunks = chunks.select("one", "n", "c.piece", F.when(F.col("n") == 0, 0).otherwise(overlap).alias("core_lo"), (F.when(F.col("n") == 0, 0).otherwise(overlap) + F.col("c.size")).alias("core_hi"))
     chunks = chunks.repartition("one", "n")  # one long text must not stay in one task
     zones = chunks.mapInArrow(_zones(overlap), "one struct<key:bigint,digest:string>, n int, own_starts array<int>, next_starts array<int>, sure_starts array<int>")
     w = Window.partitionBy("one").orderBy("n")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     agreed = F.array_min(F.array_intersect(F.col("own_starts"), F.lag("next_starts").over(w)))
     # a chunk is in step if it agrees with a neighbour that is; behind one that is not, only sure starts count
-    out_of_step = F.max(((F.col("n") > 0) & F.col("agreed").isNull()).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = F.when(out_of_step == 0, F.col("agreed")).otherwise(F.array_min("sure_starts"))
-    return (
-        zones.withColumn("agreed", agreed)
-        .withColumn("at", at)
-        .select("one", F.when(F.col("n") == 0, 0).otherwise(F.col("n") * chunk + F.col("at")).alias("cut"))
-        .where("cut is not null")
-        .groupBy("one")
-        .agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    )
+    out_of_step = F.max(((F.col("n") > 0) & F.col("agreed").isNull()).cast("int")).over(so_far)
+    at = F.when(F.col("n") == 0, 0).when(out_of_step == 0, F.col("agreed")).otherwise(F.array_min("sure_starts"))
+    cut = zones.withColumn("agreed", agreed).withColumn("at", at).withColumn("piece", F.max(F.when(F.col("at").isNotNull(), F.col("n"))).over(so_far))
+    return cut.select("one", "n", "at", "piece", F.lag("piece").over(w).alias("before"))
 
 
 def _encode(ranks: bytes, keep: list[str] = ["key", "n"]):  # noqa: B006
@@ -131,17 +130,20 @@ def encode_corpus(docs: DataFrame, key: str, text: str, ranks: bytes, *, chunk_c
     # each different long text under a key once, with the number of its rows
     long_docs = docs.where(is_long).groupBy("key", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     long_docs = long_docs.select("key", F.struct("key", "digest").alias("one"), "text", "copies")
-    cuts = _cuts(long_docs, chunk_chars, overlap_chars)
-    pieces = (
-        long_docs.join(cuts, "one")
-        .select("one", "copies", "text", "cuts", F.posexplode("cuts").alias("n", "cut"))
-        .select("one", "copies", "n", F.expr("substring(text, cut + 1, coalesce(try_element_at(cuts, n + 2), length(text)) - cut)").alias("piece"))
-        .repartition("one", "n")
-    )
+    blocks = _blocks(long_docs, chunk_chars)
+    halves = blocks.select("one", F.posexplode("blocks").alias("n", "block")).join(_cuts(blocks, overlap_chars), ["one", "n"])
+    # what of a block stands before its cut belongs to the piece before, the rest to the piece behind
+    at = F.coalesce("at", F.lit(0))
+    halves = halves.select("one", "n", F.inline(F.array(
+        F.struct(F.coalesce("before", "piece").alias("piece"), F.lit(0).alias("half"), F.expr("left(block, coalesce(at, 0))").alias("part")),
+        F.struct(F.col("piece").alias("piece"), F.lit(1).alias("half"), F.substring("block", at + 1, F.length("block")).alias("part")))))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "half", "part"))), lambda x: x["part"]), "")
+    pieces = halves.where("part <> ''").groupBy("one", F.col("piece").alias("n")).agg(joined.alias("piece"))
     whole = (
-        pieces.mapInArrow(_encode(ranks, ["one", "copies", "n"]), "one struct<key:bigint,digest:string>, copies long, n int, ids array<int>")
-        .groupBy("one", "copies")
+        pieces.select("one", "n", "piece").mapInArrow(_encode(ranks, ["one", "n"]), "one struct<key:bigint,digest:string>, n int, ids array<int>")
+        .groupBy("one")
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+        .join(long_docs.select("one", "copies"), "one")
         .select(F.col("one.key").alias("key"), "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select("key", "ids")
     )
