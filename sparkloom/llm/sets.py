@@ -32,13 +32,12 @@ def hashed_runs(words: Column, n: int) -> Column:
 def classes(records: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Equal sets of word runs become one class: (id, class_id, hashes) and (class_id, key). Records without features leave.
 
-    Texts are read once; both tables are materialised, so the ids stay what they are.
+    Texts are read once and never shuffled; both tables are materialised, so the ids stay what they are.
     """
-    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
-    rows = rows.select("key", word_runs(F.col("text")).alias("words")).select("key", hashed_runs(F.col("words"), n).alias("hashes")).where(F.size("hashes") > 0)
+    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), word_runs(F.col(text)).alias("words")).select("key", hashed_runs(F.col("words"), n).alias("hashes")).where(F.size("hashes") > 0)
     rows = cut(rows.withColumn("class_id", F.struct(F.xxhash64("hashes").alias("h0"), F.xxhash64(F.lit(n), F.reverse("hashes")).alias("h1"))))
     found = rows.groupBy("class_id").agg(F.first("hashes").alias("hashes"))
-    return cut(found.select(F.monotonically_increasing_id().alias("id"), "class_id", "hashes")), rows.select("class_id", "key")
+    return cut(found.select(F.monotonically_increasing_id().alias("id"), "class_id", "hashes")), rows.select("class_id", "key").distinct()
 
 
 def verified(candidates: DataFrame, sets: DataFrame, a: str, b: str, num: int, den: int) -> DataFrame:
