@@ -114,12 +114,3 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = cut(labels.unionByName(found.select("vertex", "label")).unionByName(roots))
     least = labels.groupBy("label").agg(F.min("vertex").alias("group"))
     return labels.join(least, "label").select("group", "vertex")
-
-
-def links_of_lists(rows: DataFrame, ids: str, group: str | None = None) -> DataFrame:
-    """Links (a, b) that say what the id lists say: each id with the least of its row, and of its ``group`` where given."""
-    if group is None:
-        return rows.select(F.array_min(ids).alias("a"), F.explode(ids).alias("b")).where("a <> b")
-    members = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(ids).alias("b"))
-    least = members.groupBy("g").agg(F.min("b").alias("a"))
-    return members.join(least, "g").select("a", "b").where("a <> b")
