@@ -4,9 +4,22 @@ from __future__ import annotations
 
 import argparse
 import json
+import platform
 import sys
+from importlib import metadata
 
-COMMANDS = ("init", "intake", "resolve", "migrate", "extract", "reconcile", "synthesise", "session", "finish", "queue", "follow", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status")
+COMMANDS = ("init", "intake", "resolve", "migrate", "extract", "reconcile", "synthesise", "session", "finish", "queue", "follow", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status", "doctor")
+
+
+def versions() -> dict[str, str | None]:
+    """The versions of what the engine stands on; null where it isn't installed."""
+    found = {"python": platform.python_version()}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "PyYAML", "tiktoken"):
+        try:
+            found[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found[name] = None
+    return found
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -24,6 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     from sparkloom.sources.files import http_get, log_run
     from sparkloom.streaming.control import Queue
 
+    if a.command == "doctor":
+        print(json.dumps(versions(), indent=2))
+        return 0
     project = Project(local_session(), a.folder)
     gates = {"check-intake": project.check_intake, "check-claims": project.check_claims, "check-decisions": project.check_decisions, "check-master": project.check_master, "audit": project.check_audit}
     ok, out = True, None

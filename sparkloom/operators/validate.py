@@ -22,6 +22,7 @@ GROUP_ID = r"^G\d{3}$"
 SOURCE_ID = r"^S\d{2}$"
 CLAIM_FIELDS = ("claim_id", "source_id", "claim_text", "claim_type", "topic_tags", "supporting_quote_location", "confidence_as_stated", "depends_on")
 LOCATOR_KEYS = ("url", "page", "timestamp", "anchor")
+# The entries that fields may have; the messages of the checks below are fixed values too, word for word.
 CLAIM_TYPES = ("definition", "fact", "finding", "metric", "procedure", "recommendation")
 CONFIDENCE = ("high", "low", "medium", "unstated")
 DECISION_FIELDS = ("group_id", "claim_ids", "decision", "rule_applied", "decided_by")

@@ -1,7 +1,7 @@
 """The stages of a project folder, from files to gates and back: thin plans over the operators.
 
 Only this module and the command line touch a project's files; what a stage decides comes from DataFrames. Reasons carry their
-place (phase, file, line, check), so their order does not depend on how the data was partitioned.
+place (phase, file, line, check), so their order does not depend on how the data was partitioned. Their words are fixed values.
 """
 
 from __future__ import annotations

@@ -75,3 +75,24 @@ def test_decode_and_unescape(spark):
     assert got[0] == got[1] == "café" and got[2].endswith("é") and got[3] is None
     assert one(spark, "string", "a &amp; b&#33;", lambda X: T.unescape(X)) == "a & b!"
     assert one(spark, "string", "Prompt TOKEN limit", lambda X: T.context_exhausted(X)) is True
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from sparkloom.plans import lineage
+
+    made = []
+    conf = {"spark.checkpoint.dir": None}
+    context = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, getConf=lambda: SimpleNamespace(get=conf.get))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: conf.get(k) or d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.ensure_checkpoint_dir(session)
+    conf["spark.checkpoint.dir"] = "/shared/x"
+    assert lineage.ensure_checkpoint_dir(session) == "/shared/x" and made == ["/shared/x"]
+
+
+def test_versions_are_told(capsys):
+    from sparkloom import cli
+
+    assert cli.main(["doctor", "anywhere"]) == 0 and '"pyspark": "4' in capsys.readouterr().out
