@@ -3,14 +3,14 @@
 Method: gradient-boosted trees on the statistics. The trees learn from weak labels, which name what most of a text's characters
 stand in (sentences, items, rows of fields, unreadable or merely repeated matter) and abstain where that is close. What the labels
 are taken from, the shares of those kinds, is no statistic the trees see, so they have to find it out from counts of words, marks,
-line shapes and repetition. The probabilities are calibrated on the hand-checked labels, which no tree that scores them has seen. At any size of input every checked label counts: one
-whose document is among the training rows calibrates by the score of trees fitted without its fold. Training takes at most ``TRAIN_ROWS`` weakly
-labelled and ``HOLDOUT_ROWS`` hand-checked documents, those of the smallest hash, so any executor or rerun picks the same; the
-statistics and the decision cover every document in full.
+line shapes and repetition. The probabilities are calibrated on the hand-checked documents, which are set aside before training, at
+any size of input. Training takes at most ``TRAIN_ROWS`` weakly labelled and calibration at most ``HOLDOUT_ROWS`` hand-checked
+documents, those of the smallest hash, so any executor or rerun picks the same; the statistics and the decision cover every document
+in full.
 
 Defined results: null, empty and blank texts have no statistics (zeros) and no kind; every row counts as a document of its own,
-so rows of one doc_id each come out; without hand-checked labels the probabilities stay as trained; without
-documents there is no result.
+so rows of one doc_id each come out; without hand-checked labels the probabilities stay as trained; where all documents
+with a weak label are hand-checked the trees train on those and stay uncalibrated; without documents there is no result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from sparkloom.plans.lineage import cut
 
 TRAIN_ROWS = 6_000
 HOLDOUT_ROWS = 6_000
-FOLDS = 5
 KINDS = ("prose", "list", "table", "junk")
 MARGIN = 0.1
 MOST_COMMON_WORDS = 100_000
@@ -217,40 +216,21 @@ def _bounded(rows: DataFrame, limit: int) -> list:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
 
 
-def _fit(rows: list) -> BoostedTrees:
-    return BoostedTrees().fit(np.array([r["x"] for r in rows], dtype=float), np.array([KINDS.index(r["weak"]) for r in rows]), len(KINDS))
-
-
-def _unseen_scores(model: BoostedTrees, train: list, hold: list) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, labels) of every hand-checked document, each scored by trees that have not seen it."""
-    trained_on = {r["doc_id"] for r in train}
-    inside = [r for r in hold if r["doc_id"] in trained_on]
-    parts = [(model, [r for r in hold if r["doc_id"] not in trained_on])]
-    for k in range(FOLDS):
-        fold = inside[k::FOLDS]
-        ids = {r["doc_id"] for r in fold}
-        rest = [r for r in train if r["doc_id"] not in ids]
-        if fold and rest:
-            parts.append((_fit(rest), fold))
-    parts = [(m, rows) for m, rows in parts if rows]
-    if not parts:
-        return np.empty((0, len(KINDS))), np.empty(0, dtype=int)
-    return np.concatenate([m.score(np.array([r["x"] for r in rows], dtype=float)) for m, rows in parts]), np.array([KINDS.index(r["label"]) for _, rows in parts for r in rows])
-
-
 def document_kinds(docs: DataFrame, labels: DataFrame, common_words: DataFrame, *, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, holdout_rows: int = HOLDOUT_ROWS) -> DataFrame:
     """(doc_id, kind, p_prose) of every document with a non-blank text."""
     common = _word_list(common_words)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind_of_id = source.schema["doc_id"].dataType.simpleString()
     measured = cut(source.mapInArrow(_measure(common), f"doc_id {kind_of_id}, x array<float>, weak string").where("x is not null"))
-    train = _bounded(measured.where("weak is not null"), train_rows)
+    checked = labels.where(F.col("label").isin(*KINDS)).groupBy("doc_id").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n")).where("n = 1").select("doc_id", "label")
+    weakly = measured.where("weak is not null")
+    hold = _bounded(measured.join(checked, "doc_id").select("doc_id", "x", "label"), holdout_rows)
+    train = _bounded(weakly.join(checked, "doc_id", "left_anti"), train_rows)
+    if not train:
+        train, hold = _bounded(weakly, train_rows), []
     if not train:
         return measured.select("doc_id", F.lit("junk").alias("kind"), F.lit(0.0).alias("p_prose"))
-    model = _fit(train)
-    checked = labels.where(F.col("label").isin(*KINDS)).groupBy("doc_id").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n")).where("n = 1")
-    hold = _bounded(measured.join(checked.select("doc_id", "label"), "doc_id").select("doc_id", "x", "label"), holdout_rows)
-    scores, truth = _unseen_scores(model, train, hold)
-    if len(truth):
-        model.calibrate(None, truth, scores=scores)
+    model = BoostedTrees().fit(np.array([r["x"] for r in train], dtype=float), np.array([KINDS.index(r["weak"]) for r in train]), len(KINDS))
+    if hold:
+        model.calibrate(np.array([r["x"] for r in hold], dtype=float), np.array([KINDS.index(r["label"]) for r in hold]))
     return measured.select("doc_id", "x").mapInArrow(_decide(model), f"doc_id {kind_of_id}, kind string, p_prose double")

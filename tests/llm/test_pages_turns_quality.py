@@ -167,18 +167,18 @@ def test_quality_edges(spark):
     assert len(kinds) == 40
 
 
-def test_every_checked_label_calibrates_unseen(spark, monkeypatch):
+def test_checked_documents_are_set_aside_before_training(spark, monkeypatch):
     fits, counts = [], []
     fit, calibrate = BoostedTrees.fit, BoostedTrees.calibrate
     monkeypatch.setattr(BoostedTrees, "fit", lambda self, x, y, n: (fits.append(len(x)), fit(self, x, y, n))[1])
     monkeypatch.setattr(BoostedTrees, "calibrate", lambda self, x, y, **more: (counts.append(len(y)), calibrate(self, x, y, **more))[1])
     docs = spark.createDataFrame([(i, PROSE * (1 + i % 3) if i % 2 else "- ab cd\n" * 9) for i in range(40)], "doc_id long, text string")
     words = spark.createDataFrame([("the",)], "word string")
-    for n, folds in ((12, [37, 37, 38, 38, 38]), (40, [32] * 5)):
+    for n, trained, calibrated in ((0, 40, []), (12, 28, [12]), (40, 40, [])):
         labels = spark.createDataFrame([(i, "prose" if i % 2 else "list") for i in range(n)], "doc_id long, label string")
         fits.clear(), counts.clear()
         kinds = {r.doc_id: r.kind for r in quality.document_kinds(docs, labels, words).collect()}
-        assert counts == [n] and fits == [40, *folds] and all(kinds[i] == ("prose" if i % 2 else "list") for i in range(40))
+        assert counts == calibrated and fits == [trained] and all(kinds[i] == ("prose" if i % 2 else "list") for i in range(40))
 
 
 def test_all_common_words_count(spark, monkeypatch):
@@ -189,17 +189,17 @@ def test_all_common_words_count(spark, monkeypatch):
 
 
 def test_the_holdout_is_there_and_calibration_helps_what_it_has_not_seen(spark, sf):
-    folder = sf.replace("0.001", "0.01")
+    folder = sf.replace("0.001", "0.1")
     common = quality._word_list(spark.read.parquet(f"{folder}/common_words.parquet"))
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select("doc_id", "text").collect()}
     measured = {i: quality.statistics(t, common) for i, t in sorted(texts.items()) if t.strip()}
     assert not any(name in k for k in quality.KINDS for name in quality.NAMES)  # no share of a kind is a statistic
-    train = [{"doc_id": i, "x": x, "weak": w} for i, (x, w) in measured.items() if w]
     names = {r.doc_id: r.label for r in spark.read.parquet(f"{folder}/doc_labels.parquet").where("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n")).where("n = 1").collect()}
-    hold = [{"doc_id": i, "x": measured[i][0], "label": k} for i, k in sorted(names.items()) if i in measured]
-    model = quality._fit(train)
-    scores, truth = quality._unseen_scores(model, train, hold)
-    assert len(truth) == len(hold) > 100
+    train = [(x, w) for i, (x, w) in measured.items() if w and i not in names]
+    hold = [(measured[i][0], k) for i, k in sorted(names.items()) if i in measured]
+    assert len(hold) > 1000
+    model = BoostedTrees().fit(np.array([x for x, _ in train]), np.array([quality.KINDS.index(w) for _, w in train]), 4)
+    scores, truth = model.score(np.array([x for x, _ in hold])), np.array([quality.KINDS.index(k) for _, k in hold])
     even = np.arange(len(truth)) % 2 == 0
     loss = lambda p: -np.log(np.clip(p[np.arange((~even).sum()), truth[~even]], 1e-9, 1)).mean()
     before = softmax(np.clip(scores[~even], -8, 8))
