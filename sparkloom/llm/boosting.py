@@ -8,16 +8,17 @@ import numpy as np
 class BoostedTrees:
     """Softmax boosting with trees of fixed depth, kept as arrays: a node's feature, its threshold bin and, in leaves, its value."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 32, least_hessian: float = 2.0, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 32, least_hessian: float = 2.0, ridge: float = 1.0, share: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least_hessian, ridge
+        self.share = share  # of the features that a tree may split by, drawn anew for each by a fixed seed
         self.scale = np.ones(0)
         self.shift = np.zeros(0)
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
 
-    def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, f = b.shape
+    def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(b)
         width = self.bins + 1
         inner = 2**self.depth - 1
         feature, split = np.zeros(inner, int), np.full(inner, width, int)  # a threshold of ``width`` sends all to the left
@@ -27,7 +28,7 @@ class BoostedTrees:
             at = node - first
             best = np.full(count, 1e-6)
             total_g, total_h = np.bincount(at, g, count), np.bincount(at, h, count)
-            for j in range(f):
+            for j in allowed:
                 cell = at * width + b[:, j]
                 cg = np.bincount(cell, g, count * width).reshape(count, width).cumsum(1)
                 ch = np.bincount(cell, h, count * width).reshape(count, width).cumsum(1)
@@ -59,11 +60,13 @@ class BoostedTrees:
         b, one = self._bin(x), np.eye(classes)[y]
         prior = np.log(one.mean(0) + 1e-3)
         score, self.prior, self.trees = np.tile(prior, (len(x), 1)), prior, []
+        draw = np.random.default_rng(0)
         for _ in range(self.rounds):
             p = softmax(score)
             row = []
             for c in range(classes):
-                tree = self._tree(b, p[:, c] - one[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
+                allowed = np.sort(draw.permutation(x.shape[1])[: max(1, round(self.share * x.shape[1]))])
+                tree = self._tree(b, p[:, c] - one[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6), allowed)
                 score[:, c] += self._walk(b, tree)
                 row.append(tree)
             self.trees.append(row)

@@ -32,6 +32,7 @@ from sparkloom.plans.lineage import cut
 TRAIN_ROWS = 6_000
 HOLDOUT_ROWS = 6_000
 KINDS = ("prose", "list", "table", "junk")
+ROUNDS, SHARE = 60, 0.25  # each tree splits by a quarter of the statistics, so that none of several alike decides alone
 MARGIN = 0.1
 MOST_COMMON_WORDS = 100_000
 
@@ -230,7 +231,7 @@ def document_kinds(docs: DataFrame, labels: DataFrame, common_words: DataFrame,
         train, hold = _bounded(weakly, train_rows), []
     if not train:
         return measured.select("doc_id", F.lit("junk").alias("kind"), F.lit(0.0).alias("p_prose"))
-    model = BoostedTrees().fit(np.array([r["x"] for r in train], dtype=float), np.array([KINDS.index(r["weak"]) for r in train]), len(KINDS))
+    model = BoostedTrees(rounds=ROUNDS, share=SHARE).fit(np.array([r["x"] for r in train], dtype=float), np.array([KINDS.index(r["weak"]) for r in train]), len(KINDS))
     if hold:
         model.calibrate(np.array([r["x"] for r in hold], dtype=float), np.array([KINDS.index(r["label"]) for r in hold]))
     return measured.select("doc_id", "x").mapInArrow(_decide(model), f"doc_id {kind_of_id}, kind string, p_prose double")
