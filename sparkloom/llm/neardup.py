@@ -130,7 +130,7 @@ def rows_of(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(sketch.view(np.int64))], names=["key", "id", "sketch"])
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, sizes) of a column of lists; null lists are empty."""
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), sizes
@@ -143,8 +143,8 @@ def _emit(num: int, den: int, level: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            values, sizes = _lists(b["hashes"])
-            private, n_private = _lists(b["alone"])
+            values, sizes = lists_of(b["hashes"])
+            private, n_private = lists_of(b["alone"])
             ends, private_ends = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(n_private))
             ids = b["id"].to_numpy(zero_copy_only=False)
             outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
@@ -251,19 +251,19 @@ def _in_blocks(rest: DataFrame, sets_: DataFrame, num: int, den: int, hot: int)
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        values, sizes = _lists(b["hashes"])
+        values, sizes = lists_of(b["hashes"])
         sketch = sketches(mix(values.view(np.uint64)), (np.cumsum(sizes) - sizes), sizes) if len(values) else np.zeros(len(sizes), np.uint64)
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(sketch.view(np.int64))], names=["id", "sketch"])
 
 
-def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT, *, keys_a_feature: int = KEYS_A_FEATURE) -> DataFrame:
+def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: the pairs of sets (id LONG, hashes, alone ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
 
     Keys with more than ``hot`` rows are split by fresh signatures, level by level, and at last by blocks.
     """
     spark = sets_.sparkSession
     found: DataFrame | None = None
-    rows = (sets_.agg(F.sum(F.size("hashes"))).first()[0] or 0) * keys_a_feature
+    rows = (sets_.agg(F.sum(F.size("hashes"))).first()[0] or 0) * KEYS_A_FEATURE
     for level in range(1, LEVELS + 1):
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
         met = cut(todo.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(num, den, hot), MET))
@@ -279,17 +279,21 @@ def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot
     return found.unionByName(_in_blocks(rest, sets_, num, den, hot)).distinct()
 
 
-def with_alone(found: DataFrame) -> DataFrame:
-    """``found`` (id, hashes) with ``alone``, the features that no other set has, but without sets that have too many of them to match."""
-    counted = found.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id"))
-    alone = counted.where("df = 1").groupBy("id").agg(F.collect_list("h").alias("alone"))
-    return found.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<bigint>")))
+def counted(found: DataFrame) -> DataFrame:
+    """(h, df, id): how many sets have a feature, and one that does."""
+    return found.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id"))
+
+
+def with_alone(found: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, hashes, alone): sets with the features that no other set has; those that have too many of them to match leave."""
+    alone = features.where("df = 1").groupBy("id").agg(F.collect_list("h").alias("alone"))
+    known = found.select("id", "hashes").join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<bigint>")))
+    return cut(known.where(F.size("hashes") * num <= (F.size("hashes") - F.size("alone")) * den))
 
 
 def candidates(sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: every pair of sets that shares its signatures and could reach the threshold."""
-    known = with_alone(sets_.select("id", "hashes"))
-    known = cut(known.where(F.size("hashes") * num <= (F.size("hashes") - F.size("alone")) * den))
+    known = with_alone(sets_, counted(sets_), num, den)
     return partitioned_pairs(known.mapInArrow(_emit(num, den, 1), EMITTED), known, num, den, hot)
 
 
