@@ -14,9 +14,9 @@ them has no signatures at all.
 
 Where a signature is met, a pair goes on if its parts are as similar as K demands and if the parity sketches of the node two levels
 higher (which differ in no more bits than the parts in features) allow the differences of that node. A signature shared by more
-than ``hot`` sets is not paired but split by the signatures of another, independent partition, which its similar pairs must share
-as well; what is still hot after ``LEVELS`` partitions is met block by block, each block with each, so all of it is met and no
-task holds more than two blocks. The pairs are then verified on the whole sets.
+than ``hot`` sets is not paired: its sets go on to another, independent partition, in which its similar pairs must share a signature
+as well, so a level has no more rows than the one before; what is still hot after ``LEVELS`` partitions is met block by block,
+each block with each, so all of it is met and no task holds more than two blocks. The pairs are then verified on the whole sets.
 
 Scale: equal sets are folded first, so copies cost one row a class. A level is one shuffle of small rows (key, id, sketch),
 about one and a half for each feature, sorted and met in one pass in Arrow batches that hold at most ``hot`` rows of a key; one
@@ -137,7 +137,7 @@ def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(num: int, den: int, level: int):
-    """A row a signature; above the first level under the key it came from."""
+    """A row a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,15 +147,11 @@ def _emit(num: int, den: int, level: int):
             private, n_private = lists_of(b["alone"])
             ends, private_ends = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(n_private))
             ids = b["id"].to_numpy(zero_copy_only=False)
-            outer = b["key"].to_numpy(zero_copy_only=False).view(np.uint64) if level > 1 else None
             for lo, hi in slices(sizes):
                 mine = values[ends[lo] : ends[hi]]
                 # a feature that no other set has is met once in the batch too, unless a set stands there under several keys
                 alone = np.isin(mine, private[private_ends[lo] : private_ends[hi]])
                 key, owner, sketch = signatures(mine.view(np.uint64), np.repeat(np.arange(lo, hi), sizes[lo:hi]), alone, num, den, level)
-                if level > 1:
-                    with np.errstate(over="ignore"):
-                        key = mix(key ^ mix(outer[owner]))
                 yield rows_of(key, ids[owner], sketch)
 
     return run
@@ -259,7 +255,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: the pairs of sets (id LONG, hashes, alone ARRAY<LONG>) that meet under a key of ``todo`` and could reach the threshold.
 
-    Keys with more than ``hot`` rows are split by fresh signatures, level by level, and at last by blocks.
+    The sets of keys with more than ``hot`` rows get the signatures of another partition, level by level, each set once however many
+    such keys it has; what is hot in the last one is met by blocks.
     """
     spark = sets_.sparkSession
     found: DataFrame | None = None
@@ -273,7 +270,7 @@ def partitioned_pairs(todo: DataFrame, sets_: DataFrame, num: int, den: int, hot
         if not rest.take(1):
             return found.distinct()
         if level < LEVELS:
-            again = rest.join(sets_.select("id", "hashes", "alone"), "id")
+            again = cut(sets_.select("id", "hashes", "alone").join(rest.select("id").distinct(), "id", "left_semi"))
             rows = again.agg(F.sum(F.size("hashes"))).first()[0] * KEYS_A_FEATURE
             todo = again.mapInArrow(_emit(num, den, level + 1), EMITTED)
     return found.unionByName(_in_blocks(rest, sets_, num, den, hot)).distinct()
