@@ -8,7 +8,7 @@ import platform
 import sys
 from importlib import metadata
 
-COMMANDS = ("init", "intake", "resolve", "migrate", "extract", "reconcile", "synthesise", "session", "finish", "queue", "follow", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status", "doctor")
+COMMANDS = ("init", "brief", "intake", "resolve", "migrate", "extract", "reconcile", "synthesise", "session", "finish", "queue", "follow", "check-intake", "check-claims", "index", "candidates", "check-decisions", "plan", "check-master", "audit", "export", "seal", "status", "doctor")
 
 
 def versions() -> dict[str, str | None]:
@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparkloom", description=__doc__)
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("folder")
-    p.add_argument("files", nargs="*", help="intake: the files to take in; queue: the directive; finish: the session")
+    p.add_argument("files", nargs="*", help="intake: the files to take in; queue: the directive; brief: the topic; finish: the session")
     p.add_argument("--only", help="resolve: targets that contain this")
     p.add_argument("--source", action="append", default=[], help="resolve: scan this source")
     p.add_argument("--force", action="store_true", help="synthesise: replace an edited master")
@@ -66,6 +66,8 @@ def main(argv: list[str] | None = None) -> int:
             ok = out["gate"]["status"] == "PASS" or a.command == "migrate" and a.dry_run
         elif a.command == "synthesise":
             out = project.synthesise(force=a.force, dry_run=a.dry_run)
+        elif a.command == "brief":
+            out = project.brief(" ".join(a.files), dry_run=a.dry_run)
         elif a.command == "init":
             out = project.init(project.root.name)
         elif a.command == "index":

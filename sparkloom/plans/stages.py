@@ -66,6 +66,18 @@ class Project:
             (self.root / folder).mkdir(parents=True, exist_ok=True)
         return made
 
+    def brief(self, topic: str, platforms: tuple[str, ...] = ("Platform A", "Platform B"), *, dry_run: bool = False) -> dict[str, str]:
+        """The question of the project and where its reports go, and a page with room for a prompt a platform; a blank topic is an error."""
+        topic = topic.strip()
+        if not topic:
+            raise ValueError("a brief needs a topic")
+        steps = ("write a prompt for each platform in prompts/RESEARCH-PROMPTS.md and run it there", "save each report as a file and take it in", "extract, reconcile, synthesise and audit", "export output/MASTER.json")
+        pages = {
+            "BRIEF.md": [f"# Research brief: {self.root.name}", "", "> [!abstract] Question", f"> {topic}", "", "## Steps", "", *(f"{i}. {s}" for i, s in enumerate(steps, 1)), ""],
+            "prompts/RESEARCH-PROMPTS.md": [f"# Prompts: {self.root.name}", "", f"Question: {topic}", "", *(x for p in platforms for x in (f"## {p}", "", "> [!todo] The prompt for this platform; ask for headings, stated confidence and cited sources.", "")), "Save each report as its own file, then: intake.", ""],
+        }
+        return {name: files.write_text(self.root / name, "\n".join(lines), self.root, dry_run=dry_run) for name, lines in pages.items()}
+
     def heads(self) -> DataFrame:
         """(_file, _body, fields, _error) a source file, fields as read; none where there are no files yet."""
         if not any((self.root / "sources").glob("S*.md")):

@@ -102,3 +102,13 @@ def test_extract_and_reconcile_write_what_people_fill_in(project):
     found = json.loads((project.root / "index" / "candidates.jsonl").read_text())
     assert found == {"candidate_id": "P001", "claim_ids": ["S01-C001", "S02-C001"], "shared_tags": ["storage"], "token_overlap": 0.833}
     assert messages({"gate": "03-reconcile", "status": "FAIL", "reasons": ["r"] * 50, "warnings": ["w"]})[-2:] == ["FAIL: r", "warn: w"]
+
+
+def test_brief_has_the_question_and_a_place_for_each_prompt(project):
+    with pytest.raises(ValueError, match="topic"):
+        project.brief("  ")
+    assert project.brief(" What slows compaction? ", ("One", "Two")) == {"BRIEF.md": "replaced", "prompts/RESEARCH-PROMPTS.md": "created"}
+    assert "> What slows compaction?" in (project.root / "BRIEF.md").read_text()
+    prompts = (project.root / "prompts" / "RESEARCH-PROMPTS.md").read_text()
+    assert prompts.count("[!todo]") == 2 and "## Two" in prompts
+    assert set(project.brief("What slows compaction?", ("One", "Two")).values()) == {"unchanged"}
