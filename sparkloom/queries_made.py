@@ -282,7 +282,7 @@ select claim_id, unnest([n + 0.5, n + 3.5, n + 14])::double "start", unnest([0,
 
 def _cue_texts(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "claims").where("claim_id is not null").groupBy("claim_id").agg(F.min("claim_text").alias("t")).where("t is not null").withColumn("t", text.collapse(F.col("t"))).where("t <> ''")
-    return one.withColumn("n", F.substring("claim_id", -2, 2).cast("int"))
+    return one.withColumn("n", F.expr("try_cast(substring(claim_id, -2, 2) as int)"))
 
 
 def _escaped(c: Column) -> Column:
