@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import round3, tokens
@@ -235,15 +235,20 @@ def candidate_pairs(claims: DataFrame, *, num: int = NUM, den: int = DEN) -> Dat
 def numbered(pairs: DataFrame) -> DataFrame:
     """Candidates P001, P002... in order of their claims.
 
-    The pairs are sorted in ranges and numbered by the counts of the ranges before, so no task holds more than its range.
+    The pairs are counted by their first claim; the claims are sorted in ranges, and a claim's first number is what stands in the ranges
+    and claims before. So nothing but counts is kept, and no task holds more than a range of claims or the pairs of one.
     """
-    ranges = pairs.sort("claim_id_a", "claim_id_b").withColumn("_part", F.spark_partition_id())
-    ranges = cut(ranges.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = {r[0]: r[1] for r in ranges.groupBy("_part").agg(F.count(F.lit(1))).collect()}  # a row a task
-    before, sums = 0, []
-    for part in sorted(counts):
-        sums += [F.lit(part), F.lit(before)]
-        before += counts[part]
-    offset = F.create_map(*sums)[F.col("_part")] if sums else F.lit(0)
-    n = (F.col("_at") + offset + 1).cast("string")
-    return ranges.select(F.concat(F.lit("P"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("candidate_id"), *pairs.columns)
+    counts = pairs.groupBy("claim_id_a").agg(F.count(F.lit(1)).alias("n"))
+    ranges = cut(cut(counts).sort("claim_id_a").withColumn("part", F.spark_partition_id()))
+    sums = {r[0]: r[1] for r in ranges.groupBy("part").agg(F.sum("n")).collect()}  # a row a task
+    before, begins = 0, []
+    for part in sorted(sums):
+        begins += [F.lit(part), F.lit(before)]
+        before += sums[part]
+    begin = F.create_map(*begins)[F.col("part")] if begins else F.lit(0)
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("claim_id_a"))
+    first = ranges.select("claim_id_a", (begin + upto - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("claim_id_a").orderBy("claim_id_b"))
+    n = (F.col("before") + F.col("nth")).cast("string")
+    out = pairs.withColumn("nth", nth).join(first, "claim_id_a")
+    return out.select(F.concat(F.lit("P"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("candidate_id"), *pairs.columns)

@@ -160,7 +160,7 @@ def new_source_ids(spark: SparkSession, d: str) -> DataFrame:
 select 'P' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end candidate_id, claim_id_a, claim_id_b from (select *, row_number() over (order by claim_id_a, claim_id_b) n from ({core.SQL['candidate_pairs']}))
 """)
 def candidate_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.numbered(similarity.candidate_pairs(table(spark, d, "claims"))).select("candidate_id", "claim_id_a", "claim_id_b")
+    return similarity.numbered(similarity.candidate_pairs(table(spark, d, "claims")).select("claim_id_a", "claim_id_b"))
 
 
 @query(core.SQL["claim_problems"])

@@ -63,3 +63,13 @@ def test_cells_cut_by_batches_and_sides(monkeypatch, few):
         if x[0] == y[0] and (x[1] < 0 or x[1] != y[1]) and 5 * len(both) >= 3 * len(every):
             want.add((*sorted((x[3], y[3])), len(both), len(every)))
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_numbers_keep_counts_of_claims_and_no_pairs(spark, monkeypatch):
+    kept = []
+    cut = similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: (kept.append(df.columns), cut(df))[1])
+    rows = [(f"a{k % 7}", f"b{k * 37 % 101:03}", "t") for k in range(101)] + [("a9", "b1", "t"), ("a9", "b1", "u")]
+    got = sorted(tuple(r) for r in similarity.numbered(spark.createDataFrame(rows, "claim_id_a string, claim_id_b string, shared_tags string")).select("candidate_id", "claim_id_a", "claim_id_b").collect())
+    assert got == [(f"P{k:03}", a, b) for k, (a, b, _) in enumerate(sorted(rows), 1)]
+    assert kept and not any("claim_id_b" in c for c in kept)
